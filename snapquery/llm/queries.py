@@ -45,6 +45,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 50 words that begin in a document before it."""
+    from snapquery.llm.substring import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), 50).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 2048 tokens."""
     from snapquery.llm.packing import pack
@@ -62,7 +71,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_sharding, op6_packing, op8_simhash)
+    f.__name__: f for f in (op1_decontamination, op3_sharding, op5_substring, op6_packing, op8_simhash)
 }
 
 ORACLES: dict[str, str] = {
@@ -82,5 +91,17 @@ c AS (SELECT k, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN h USING (k) LEFT JOIN c USING (k)
+""",
+    "op5_substring": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT k, doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS g
+      FROM (SELECT k, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+f AS (SELECT g, min(doc_id) AS least FROM p GROUP BY g),
+r AS (SELECT DISTINCT k, q FROM (SELECT k, unnest(range(p, p + 50)) AS q FROM p JOIN f USING (g) WHERE least < doc_id)),
+s AS (SELECT k, count(*) AS n_removed, list(q) AS gone FROM r GROUP BY k),
+e AS (SELECT k, q, w[q] AS x FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS q FROM d)),
+t AS (SELECT k, string_agg(x, ' ' ORDER BY q) AS kept FROM e ANTI JOIN r USING (k, q) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (k) LEFT JOIN t USING (k)
 """,
 }
