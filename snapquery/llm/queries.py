@@ -36,6 +36,19 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document; the counts are of base spans."""
+    from snapquery.llm.pii import KINDS, personal_data
+
+    names = F.array(*map(F.lit, KINDS))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+    of = lambda i: F.filter("base", lambda s: s["kind"] == i)
+    counts = [F.size(of(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return personal_data(_table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans")
+    )
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards by jump consistent hashing."""
     from snapquery.llm.sharding import shard
@@ -71,7 +84,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_sharding, op5_substring, op6_packing, op8_simhash)
+    f.__name__: f for f in (op1_decontamination, op2_pii, op3_sharding, op5_substring, op6_packing, op8_simhash)
 }
 
 ORACLES: dict[str, str] = {
