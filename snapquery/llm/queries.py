@@ -74,6 +74,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), 2048, 0).withColumnRenamed("id", "doc_id")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    from snapquery.llm.langid import fit, predict, teaches
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(~teaches("id"), F.lit(False))
+    return predict(docs, fit(docs.where(teaches()))).select(
+        F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     from snapquery.llm.simhash import near_duplicates
@@ -84,7 +95,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_pii, op3_sharding, op5_substring, op6_packing, op8_simhash)
+    f.__name__: f for f in (op1_decontamination, op2_pii, op3_sharding, op5_substring, op6_packing, op7_langid, op8_simhash)
 }
 
 ORACLES: dict[str, str] = {
