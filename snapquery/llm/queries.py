@@ -58,6 +58,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    from snapquery.llm.ann import neighbours
+
+    return neighbours(_table(spark, sf_dir, "embeddings"), 20, 20)
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages of 50 words that begin in a document before it."""
     from snapquery.llm.substring import remove_repeats
@@ -95,7 +102,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_pii, op3_sharding, op5_substring, op6_packing, op7_langid, op8_simhash)
+    f.__name__: f for f in (op1_decontamination, op2_pii, op3_sharding, op4_ann, op5_substring, op6_packing, op7_langid, op8_simhash)
 }
 
 ORACLES: dict[str, str] = {
