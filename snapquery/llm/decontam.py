@@ -166,3 +166,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 8, id_col: st
     return none.join(merged, "key", "left").select(
         "id", "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 8, id_col: str = "doc_id", text_col: str = "text", least: int = 1, **names: str | int) -> DataFrame:
+    """``docs`` without the rows that share a window with ``least`` or more items."""
+    keyed = docs.withColumn("_hash", F.xxhash64(text_col))
+    found = contamination(keyed.withColumn("_key", F.struct(F.col(id_col).cast("string").alias("id"), F.col("_hash").alias("hash"))), items, window, "_key", text_col, **names)
+    hit = stored(found.where(F.size("items") >= least).select(F.col("id.id").alias("_hit_id"), F.col("id.hash").alias("_hit_hash")).distinct(), "contaminated")
+    same = F.col(id_col).cast("string").eqNullSafe(F.col("_hit_id")) & (F.col("_hash") == F.col("_hit_hash"))
+    return keyed.join(hit, same, "left_anti").drop("_hash")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,8 +102,42 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses found in every document."""
+    from snapquery.llm.license import scan
+
+    place = lambda f: F.concat_ws(":", f["template"], f["first"], f["last"])
+    return scan(_table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size("found").cast("long").alias("n_found"),
+        F.array_join(F.array_sort(F.array_distinct("found.template")), ",").alias("licenses"),
+        F.coalesce(F.array_max("found.coverage"), F.lit(0.0)).alias("coverage"),
+        F.array_join(F.transform("found", place), ",").alias("spans"),
+    )
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the unigram model."""
+    from snapquery.llm.tokencount import token_counts, zipf_scores
+
+    scores = zipf_scores(tokenizer_path(PIECES))
+    return token_counts(_table(spark, sf_dir, "documents"), scores).withColumnRenamed("id", "doc_id")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``corpus_pipeline`` over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_pii, op3_sharding, op4_ann, op5_substring, op6_packing, op7_langid, op8_simhash)
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_pii, op3_sharding, op4_ann, op5_substring,
+        op6_packing, op7_langid, op8_simhash, op9_license, op10_token_counts, pipeline,
+    )
 }
 
 ORACLES: dict[str, str] = {

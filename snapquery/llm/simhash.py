@@ -53,15 +53,16 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): the fingerprint of each row as a signed 64-bit integer."""
+    """(id, text_hash, fp): the fingerprint of each row as a signed 64-bit integer, with a hash of the whole text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(x, shingle, seed) for x in text_bytes(b.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = np.array([fingerprint(x, shingle, seed) for x in text_bytes(b.column(2))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, text_hash long, fp long")
 
 
 @cache
@@ -128,7 +129,7 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp, component_id) of each row: the smallest id that links of at most ``max_bits`` bits reach."""
+    """(id, text_hash, fp, component_id, label) of each row: the smallest id that links of at most ``max_bits`` bits reach."""
     rows = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     labels = components(links(distinct, max_bits))
@@ -136,5 +137,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "fp", "least", F.coalesce("label", "fp").alias("label")
     )
     least = classed.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = classed.join(least, "label").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("id", "fp", "component_id")
+    by_fp = classed.join(least, "label").select("fp", "component_id", "label")
+    return rows.join(by_fp, "fp").select("id", "text_hash", "fp", "component_id", "label")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest id (a null id only if there is no other)."""
+    classed = near_duplicates(docs, id_col, text_col, shingle, max_bits)
+    first = classed.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "text_hash")).alias("k"))
+    kept = stored(first.select(F.col("k.id").alias("_id"), F.col("k.text_hash").alias("_hash")), "kept")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    chosen = docs.join(kept, same).select(*docs.columns, "_id", "_hash")
+    return chosen.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
