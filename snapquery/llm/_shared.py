@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -125,3 +125,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = following.select("node", "label")
         if done:
             return labels
+
+
+def whole_rows(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Each row as one struct ``row`` beside the given columns, so that no name of the input is in the way; ``row.*`` brings it back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])

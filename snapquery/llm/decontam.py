@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapquery.llm._shared import stored, text_bytes, text_slices
+from snapquery.llm._shared import stored, text_bytes, text_slices, whole_rows
 from snapquery.llm._words import ALNUM, LOWER, Words, find_words, rolling
 
 GRAM = 5
@@ -170,8 +170,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 8, id_col: st
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = 8, id_col: str = "doc_id", text_col: str = "text", least: int = 1, **names: str | int) -> DataFrame:
     """``docs`` without the rows that share a window with ``least`` or more items."""
-    keyed = docs.withColumn("_hash", F.xxhash64(text_col))
-    found = contamination(keyed.withColumn("_key", F.struct(F.col(id_col).cast("string").alias("id"), F.col("_hash").alias("hash"))), items, window, "_key", text_col, **names)
-    hit = stored(found.where(F.size("items") >= least).select(F.col("id.id").alias("_hit_id"), F.col("id.hash").alias("_hit_hash")).distinct(), "contaminated")
-    same = F.col(id_col).cast("string").eqNullSafe(F.col("_hit_id")) & (F.col("_hash") == F.col("_hit_hash"))
-    return keyed.join(hit, same, "left_anti").drop("_hash")
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    found = contamination(docs.select(key.alias("key"), F.col(text_col).alias("text")), items, window, "key", "text", **names)
+    hit = stored(found.where(F.size("items") >= least).select("id.*").distinct().toDF("hit_id", "hit_hash"), "contaminated")
+    rows = whole_rows(docs, id=F.col(id_col), text_hash=F.xxhash64(text_col))
+    same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
+    return rows.join(hit, same, "left_anti").select("row.*")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapquery.llm._shared import stored
+from snapquery.llm._shared import stored, whole_rows
 
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
@@ -203,18 +203,21 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bootstrap: float) -> DataFrame:
     """``docs`` with each span, and each union of overlapping ones, replaced by its kind in angle brackets; a null text stays null."""
     found = stored(occurrences(docs, id_col, text_col), "pii-occurrences")
-    added = _added(found, discover(found, **bootstrap)).toDF("_hash", "_size", "_added")
-    columns, text = docs.columns, F.coalesce(F.col(text_col), F.lit(""))
-    base = F.transform(base_occurrences(text), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind")))
-    extra = F.transform(F.coalesce(F.col("_added").cast(SPANS), F.array().cast(SPANS)), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind")))
-    keyed = docs.withColumn("_hash", F.xxhash64(text)).withColumn("_size", F.octet_length(text)).join(added, ["_hash", "_size"], "left")
-    spanned = keyed.withColumn("_spans", F.array_sort(F.concat(base, extra)))
+    added = _added(found, discover(found, **bootstrap))
+    ranged = lambda c: F.transform(c, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = whole_rows(docs, text=text, text_hash=F.xxhash64(text), text_size=F.octet_length(text), base=ranged(base_occurrences(text)))
+    spans = F.array_sort(F.concat("base", ranged(F.coalesce(F.col("added").cast(SPANS), F.array().cast(SPANS)))))
+    spanned = rows.join(added, ["text_hash", "text_size"], "left").select("row", "text", spans.alias("spans"))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    between = lambda acc, to: F.substring(F.col("text"), acc["at"] + 1, to - acc["at"])
     step = lambda acc, s: (
         F.when(s["end"] <= acc["at"], acc)
         .when(s["start"] < acc["at"], F.struct(s["end"].alias("at"), acc["out"].alias("out")))
-        .otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"])).alias("out")))
+        .otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], between(acc, s["start"]), F.get(names, s["kind"])).alias("out")))
     )
-    whole = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
-    return spanned.withColumn(text_col, F.when(F.size("_spans") > 0, whole).otherwise(F.col(text_col))).select(*columns)
+    whole = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], between(acc, F.length("text"))))
+    clean = F.when(F.size("spans") > 0, whole).otherwise(F.col(f"row.`{text_col}`"))
+    columns = [clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return spanned.select(*columns)

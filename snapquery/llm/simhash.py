@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapquery.llm._shared import components, stored, text_bytes
+from snapquery.llm._shared import components, stored, text_bytes, whole_rows
 
 PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 
@@ -145,7 +145,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """``docs`` with one row of each component: that of its smallest id (a null id only if there is no other)."""
     classed = near_duplicates(docs, id_col, text_col, shingle, max_bits)
     first = classed.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "text_hash")).alias("k"))
-    kept = stored(first.select(F.col("k.id").alias("_id"), F.col("k.text_hash").alias("_hash")), "kept")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
-    chosen = docs.join(kept, same).select(*docs.columns, "_id", "_hash")
-    return chosen.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    kept = stored(first.select(F.col("k.id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash")), "kept")
+    rows = whole_rows(docs, id=F.col(id_col), text_hash=F.xxhash64(text_col))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    return rows.join(kept, same).dropDuplicates(["kept_id", "kept_hash"]).select("row.*")
