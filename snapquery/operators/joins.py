@@ -14,13 +14,17 @@ from snapquery.operators.rows import RID, known, quoted
 HOW = ("inner", "left", "right", "full", "left_semi", "left_anti")
 
 
+def check(how: str) -> None:
+    if how not in HOW:
+        raise ValueError(f"how: one of {', '.join(HOW)}")
+
+
 def joined(left: DataFrame, right: DataFrame, on: Mapping[str, str], how: str = "inner", suffix: str = "_right") -> DataFrame:
     """Pairs with equal keys (left name to right name), in the order of the left rows and then the right.
 
     Columns of the right side whose names are taken get ``suffix``.
     """
-    if how not in HOW:
-        raise ValueError(f"how: one of {', '.join(HOW)}")
+    check(how)
     taken = set(known(left))
     names = {c: c + suffix if c in taken else c for c in known(right)}
     other = right.select(*[quoted(c).alias(f"_r_{c}") for c in names], F.col(RID).alias("_r_rid"))

@@ -147,6 +147,7 @@ class Query:
 
     def join(self, other: Query | Snapshot, on: str | dict[str, str], how: str = "inner", suffix: str = "_right") -> Query:
         right, keys = _query(other), on if isinstance(on, dict) else {on: on}
+        joins.check(how)
         details = (how, keys, right.snapshot.serial, right.steps.key())
         return self._next("join", details, lambda: joins.joined(self._frame(), right._frame(), keys, how, suffix), self._shown_order())
 
