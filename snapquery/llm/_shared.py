@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+T_ = TypeVar("T_")
+
+#: What the running worker process keeps from task to task: of one operator at a time, as workers serve all in turn.
+_KEPT: dict[object, object] = {}
 #: Folder used where the session names none, which only a single-machine session may do.
 _OWN: dict[str, str] = {}
 
@@ -130,3 +135,11 @@ def components(edges: DataFrame) -> DataFrame:
 def whole_rows(docs: DataFrame, **columns: Column) -> DataFrame:
     """Each row as one struct ``row`` beside the given columns, so that no name of the input is in the way; ``row.*`` brings it back."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def kept_by_worker(key: object, make: Callable[[], T_]) -> T_:
+    """The worker's state under ``key``, made at need; what another operator has kept there is dropped."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]

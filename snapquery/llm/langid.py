@@ -22,16 +22,21 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from snapquery.llm._shared import kept_by_worker, stored
+
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 WEIGHT = 8
-REMEMBERED = 300_000
+#: Unseen words whose scores a worker remembers at most; beyond that it starts afresh.
+REMEMBERED = 100_000
+
+Table = tuple[dict[str, int], np.ndarray]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -40,36 +45,46 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language of words and of n-grams (which hold spaces at a word's ends)."""
-
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], parts: dict[str, np.ndarray], longest: int) -> None:
-        self.languages, self.words, self.parts, self.longest = languages, words, parts, longest
-        self.unseen: dict[str, np.ndarray] = {}
-
-    def back_off(self, word: str) -> np.ndarray:
-        known = self.unseen.get(word)
-        if known is None:
-            for n in range(min(self.longest, len(word) + 2), 0, -1):
-                found = [v for g in grams(word, n) if (v := self.parts.get(g)) is not None]
-                if found:
-                    known = sum(found[1:], found[0]) / len(found)
-                    break
-            else:
-                known = np.zeros(len(self.languages))
-            if len(self.unseen) >= REMEMBERED:
-                self.unseen.clear()
-            self.unseen[word] = known
-        return known
+    """Log frequencies by language of words and of n-grams (which hold spaces at a word's ends), as rows of one matrix each."""
+
+    def __init__(self, languages: list[str], words: Table, parts: Table, longest: int) -> None:
+        self.languages, self.longest = languages, longest
+        self.words, self.parts = words, parts
+
+    def open(self) -> Model:
+        """With room for the rows of unseen words, on the worker that predicts."""
+        self.at = dict(self.words[0])
+        self.rows = np.concatenate([self.words[1], np.zeros((REMEMBERED, len(self.languages)), np.float32)])
+        return self
+
+    def _unseen(self, word: str) -> int:
+        """The row of a word that the model doesn't know."""
+        at, rows = self.parts
+        for n in range(min(self.longest, len(word) + 2), 0, -1):
+            found = [i for g in grams(word, n) if (i := at.get(g)) is not None]
+            if found:
+                self.rows[len(self.at)] = rows[found].mean(axis=0)
+                break
+        else:
+            self.rows[len(self.at)] = 0
+        self.at[word] = len(self.at)
+        return self.at[word]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text else []
         if not self.languages or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
         counts = Counter(words)
-        get, back = self.words.get, self.back_off
-        rows = [v if (v := get(w)) is not None else back(w) for w in counts]
-        n = np.fromiter(counts.values(), np.float64, len(counts))
-        mean = n @ np.array(rows) / len(words)
+        total = np.zeros(len(self.languages))
+        entries = list(counts.items())
+        for k in range(0, len(entries), REMEMBERED):  # a text of more words than are remembered goes in parts
+            part = entries[k : k + REMEMBERED]
+            if len(self.at) + len(part) > len(self.rows):
+                self.at = dict(self.words[0])
+            get = self.at.get
+            rows = [i if (i := get(w)) is not None else self._unseen(w) for w, _ in part]
+            total += np.array([n for _, n in part], np.float64) @ self.rows[rows]
+        mean = total / len(words)
         share = np.exp((mean - mean.max()) * min(len(words), WEIGHT))
         best = int(mean.argmax())
         return self.languages[best], float(share[best] / share.sum())
@@ -111,16 +126,17 @@ def _gram_counts(words: DataFrame, longest: int) -> DataFrame:
     return words.mapInArrow(run, "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
 
 
-def _vectors(counts: DataFrame, languages: list[str], vocabulary: int) -> dict[str, np.ndarray]:
+def _vectors(counts: DataFrame, languages: list[str], vocabulary: int) -> Table:
     """Smoothed log frequencies of the entries that are among the most frequent of any language."""
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "entry")))
     kept = counts.join(ranked.where(F.col("r") <= vocabulary).select("entry").distinct(), "entry")
-    at = {lang: i for i, lang in enumerate(languages)}
-    table: dict[str, np.ndarray] = {}
-    for r in kept.collect():  # at most `vocabulary` entries of each language
-        table.setdefault(r.entry, np.zeros(len(languages)))[at[r.lang]] = r.n
-    totals = sum(table.values(), np.zeros(len(languages)))
-    return {k: np.log((v + 0.5) / (totals + 0.5 * len(table))) for k, v in table.items()}
+    column = {lang: i for i, lang in enumerate(languages)}
+    found = kept.toArrow()  # at most `vocabulary` entries of each language
+    entries = found.column("entry").combine_chunks().dictionary_encode()
+    table = np.zeros((len(entries.dictionary), len(languages)))
+    table[np.asarray(entries.indices), [column[x] for x in found.column("lang").to_pylist()]] = np.asarray(found.column("n"))
+    logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table)))
+    return {k: i for i, k in enumerate(entries.dictionary.to_pylist())}, logs.astype(np.float32)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 3000, vocabulary: int = 20_000, longest: int = 4) -> Model:
@@ -129,39 +145,49 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], {}, {}, longest)
+        return Model([], ({}, np.zeros((0, 0), np.float32)), ({}, np.zeros((0, 0), np.float32)), longest)
     share = F.lit(1.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows / n))).otherwise(share)
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    words = _counted(usable.where(draw < share).select("lang", "text")).persist()
-    model = Model(languages, _vectors(words, languages, vocabulary), _vectors(_gram_counts(words, longest), languages, vocabulary), longest)
-    words.unpersist()
-    return model
+    words = stored(_counted(usable.where(draw < share).select("lang", "text")), "word-counts")
+    return Model(languages, _vectors(words, languages, vocabulary), _vectors(_gram_counts(words, longest), languages, vocabulary), longest)
 
 
-def prediction(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
-    """A function of a text column that gives a struct of ``lang_pred`` and ``lang_score``."""
-    shared = spark.sparkContext.broadcast(model)  # bounded by `vocabulary` and the number of languages
+def _predicting(docs: DataFrame, model: Model, text: int, out: Callable[[pa.RecordBatch, list[tuple[str, float]]], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """Map ``out`` over slices of ``docs`` and the predictions of their texts (column number ``text``)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `vocabulary` and the number of languages
 
-    @F.pandas_udf("lang_pred string, lang_score double")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "lang_score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded = shared.value
+        predict = kept_by_worker(("langid", id(loaded)), loaded.open).predict
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                yield out(part, [predict(t) for t in part.column(text).to_pylist()])
 
-    return run
+    return docs.mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, lang_score) of each row."""
-    told = prediction(docs.sparkSession, model)(F.col(text_col))
-    return docs.select(F.col(id_col).alias("id"), told.alias("told")).select("id", "told.lang_pred", "told.lang_score")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def out(part: pa.RecordBatch, told: list[tuple[str, float]]) -> pa.RecordBatch:
+        columns = [part.column(0), pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "lang_pred", "lang_score"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _predicting(rows, model, 1, out, f"id {kind}, lang_pred string, lang_score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows whose language can be told: not ``und``, and with a score of ``least`` or more."""
-    told = prediction(docs.sparkSession, model)(F.col(text_col))
-    return docs.withColumn("_told", told).where((F.col("_told.lang_pred") != UNKNOWN) & (F.col("_told.lang_score") >= least)).drop("_told")
+
+    def out(part: pa.RecordBatch, told: list[tuple[str, float]]) -> pa.RecordBatch:
+        return part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in told], pa.bool_()))
+
+    return _predicting(docs, model, docs.columns.index(text_col), out, docs.schema)
 
 
 def teaches(id_col: str = "doc_id") -> Column:

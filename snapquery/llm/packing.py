@@ -24,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapquery.llm._shared import numbered, stored
+from snapquery.llm._shared import kept_by_worker, numbered, stored
 
 #: Words whose ids a worker remembers at most; beyond that it forgets those that it met in one batch only.
-REMEMBERED = 600_000
-_ENCODERS: dict[str, WordEncoder] = {}
+REMEMBERED = 300_000
 
 
 class WordEncoder:
@@ -81,13 +80,6 @@ class WordEncoder:
         return [self._own(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, cut, strict=True)]
 
 
-def encoder(path: str) -> WordEncoder:
-    """The encoder of a worker process, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): the pieces of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -96,7 +88,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int =
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = kept_by_worker(("packing", tokenizer), lambda: WordEncoder(tokenizer))
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)

@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapquery.llm._shared import text_slices
+from snapquery.llm._shared import kept_by_worker, text_slices
 
 SPACE = "▁"
 #: Words whose counts a worker remembers at most; beyond that it starts afresh.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 
 
 def zipf_scores(path: str) -> dict[str, float]:
@@ -84,9 +84,6 @@ class TrieCounter:
         return [(len(w), sum(map(get, w))) for w in cut]
 
 
-_COUNTERS: dict[int, TrieCounter] = {}
-
-
 def token_counts(docs: DataFrame, scores: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_tokens) of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -94,13 +91,7 @@ def token_counts(docs: DataFrame, scores: dict[str, float], id_col: str = "doc_i
     name = hash(frozenset(scores.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from snapquery.llm import tokencount
-
-        kept = tokencount._COUNTERS  # from task to task of a worker
-        if name not in kept:
-            kept.clear()
-            kept[name] = TrieCounter(shared.value)
-        counter = kept[name]
+        counter = kept_by_worker(("tokencount", name), lambda: TrieCounter(shared.value))
         for b in batches:
             for lo, hi in text_slices(b, "text", 4 << 20):
                 part = b.slice(lo, hi - lo)
