@@ -19,6 +19,8 @@ ones too); an empty table returns no rows.  Other columns are passed through by
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,21 +41,28 @@ FORMS = {
     "card": r"^[0-9][0-9-]{11,22}[0-9]$",
     "phone": r"^[0-9(][0-9().-]{5,18}[0-9]$",
 }
+BLOCK = 256
+SENT = 200_000  # spans that are broadcast at most
 NEAR = 64  # characters looked at on either side for the words of a lexical pattern
 OCCURRENCE = "array<struct<kind:int,start:int,end:int,value:string,before:string,after:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; as a plain column it would be computed anew inside each inner lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _found(text: Column, pattern: str, kind: int) -> Column:
     """Matches with their places: the gaps between matches give the offsets."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    zipped = F.arrays_zip(hits.alias("value"), gaps.alias("gap"), F.slice(gaps, F.lit(2), F.greatest(F.size(hits), F.lit(1))).alias("next"))
     steps = F.transform(
-        hits,
-        lambda v, i: F.struct(
-            F.length(F.get(gaps, i)).alias("gap"), F.length(v).alias("n"), v.alias("value"),
-            F.right(F.get(gaps, i), F.lit(NEAR)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(NEAR)).alias("after"),
+        F.filter(zipped, lambda z: z["value"].isNotNull()),
+        lambda z: F.struct(
+            F.length(z["gap"]).alias("gap"), F.length(z["value"]).alias("n"), z["value"].alias("value"),
+            F.right(z["gap"], F.lit(NEAR)).alias("before"), F.left(z["next"], F.lit(NEAR)).alias("after"),
         ),
     )
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(OCCURRENCE).alias("out"))
     step = lambda acc, s: F.struct(
         (acc["at"] + s["gap"] + s["n"]).alias("at"),
         F.concat(
@@ -64,7 +73,20 @@ def _found(text: Column, pattern: str, kind: int) -> Column:
             )).cast(OCCURRENCE),
         ).alias("out"),
     )
-    return F.aggregate(steps, empty, step, lambda acc: acc["out"])
+    empty = lambda at: F.struct(at.alias("at"), F.array().cast(OCCURRENCE).alias("out"))
+    last = lambda s: F.greatest((F.size(s) - 1).cast("int"), F.lit(0))
+
+    def blocks(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(last(s) / BLOCK).cast("int")), lambda i: F.slice(s, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def placed(b: Column) -> Column:
+        """Places by blocks, each from the sum of those before, so that the work stays near linear in the number of matches."""
+        sizes = F.transform(b, lambda block: F.aggregate(block, F.lit(0), lambda n, s: n + s["gap"] + s["n"]))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        each = F.filter(F.arrays_zip(b.alias("block"), starts.alias("at")), lambda z: z["block"].isNotNull())
+        return F.flatten(F.transform(each, lambda z: F.aggregate(z["block"], empty(z["at"]), step, lambda acc: acc["out"])))
+
+    return _let(steps, lambda s: _let(blocks(s), placed))
 
 
 def luhn(digits: Column) -> Column:
@@ -203,7 +225,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bootstrap: float) -> DataFrame:
     """``docs`` with each span, and each union of overlapping ones, replaced by its kind in angle brackets; a null text stays null."""
     found = stored(occurrences(docs, id_col, text_col), "pii-occurrences")
-    added = _added(found, discover(found, **bootstrap))
+    added = stored(_added(found, discover(found, **bootstrap)), "pii-added")
+    if added.agg(F.coalesce(F.sum(F.size("added")), F.lit(0))).first()[0] <= SENT:
+        added = F.broadcast(added)  # a checked number of spans; more of them are joined by a shuffle
     ranged = lambda c: F.transform(c, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = whole_rows(docs, text=text, text_hash=F.xxhash64(text), text_size=F.octet_length(text), base=ranged(base_occurrences(text)))
