@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -84,6 +85,7 @@ def numbered(df: DataFrame, group: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget_kept()
         task, seen = TaskContext.get().partitionId(), {}
         for b in batches:
             g = np.asarray(b.column(group))
@@ -140,6 +142,14 @@ def whole_rows(docs: DataFrame, **columns: Column) -> DataFrame:
 def kept_by_worker(key: object, make: Callable[[], T_]) -> T_:
     """The worker's state under ``key``, made at need; what another operator has kept there is dropped."""
     if key not in _KEPT:
-        _KEPT.clear()
+        forget_kept()
         _KEPT[key] = make()
     return _KEPT[key]
+
+
+def forget_kept() -> None:
+    """At the start of a task of an operator that keeps nothing: give back what others have kept in the worker."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()

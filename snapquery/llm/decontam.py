@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapquery.llm._shared import stored, text_bytes, text_slices, whole_rows
+from snapquery.llm._shared import forget_kept, stored, text_bytes, text_slices, whole_rows
 from snapquery.llm._words import ALNUM, LOWER, Words, find_words, rolling
 
 GRAM = 5
@@ -100,6 +100,7 @@ def _scan(rows: DataFrame, key_type: str, block: tuple[list[str], list[bytes]] |
     shared = rows.sparkSession.sparkContext.broadcast(Fingerprints(*block, window) if block else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         index = shared.value
         for b in batches:
             for lo, hi in text_slices(b, "text", 1 << 20):

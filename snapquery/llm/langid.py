@@ -34,7 +34,9 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 WEIGHT = 8
 #: Unseen words whose scores a worker remembers at most; beyond that it starts afresh.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
+#: Counts that a task gathers before it hands them on.
+FLUSHED = 40_000
 
 Table = tuple[dict[str, int], np.ndarray]
 
@@ -96,11 +98,13 @@ def _counted(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[str, str]] = Counter()
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts.update((lang, w) for w in LETTERS.findall(text.lower()))
-            if len(counts) > 200_000:
-                yield _table(counts)
-                counts.clear()
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    counts.update((lang, w) for w in LETTERS.findall(text.lower()))
+                if len(counts) > FLUSHED:
+                    yield _table(counts)
+                    counts.clear()
         yield _table(counts)
 
     return rows.mapInArrow(run, "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
@@ -116,12 +120,13 @@ def _table(counts: Counter[tuple[str, str]]) -> pa.RecordBatch:
 def _gram_counts(words: DataFrame, longest: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts: Counter[tuple[str, str]] = Counter()
-            for lang, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for k in range(1, longest + 1):
-                    for g in grams(word, k):
-                        counts[lang, g] += n
-            yield _table(counts)
+            for at in range(0, b.num_rows, 1000):
+                counts: Counter[tuple[str, str]] = Counter()
+                for lang, word, n in zip(*(c.to_pylist() for c in b.slice(at, 1000).columns), strict=True):
+                    for k in range(1, longest + 1):
+                        for g in grams(word, k):
+                            counts[lang, g] += n
+                yield _table(counts)
 
     return words.mapInArrow(run, "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
 

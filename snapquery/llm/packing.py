@@ -158,7 +158,8 @@ def plan(histogram: dict[int, int], capacity: int = 2048) -> list[tuple[int, int
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids], sequence_id, offset): the place of each piece."""
     spark = docs.sparkSession
-    ranked = stored(numbered(pieces(docs, tokenizer, capacity, closing, id_col, text_col, with_ids), "length"), "pieces")
+    cut = stored(pieces(docs, tokenizer, capacity, closing, id_col, text_col, with_ids), "pieces")  # so that no task needs two Python workers
+    ranked = stored(numbered(cut, "length"), "ranked-pieces")
     counts = {r.length: r["count"] for r in ranked.groupBy("length").count().collect()}  # at most `capacity` rows
     slots = plan(counts, capacity)
     schema = "length int, first_rank long, last_rank long, first_sequence long, offset long"

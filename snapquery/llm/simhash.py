@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapquery.llm._shared import components, stored, text_bytes, whole_rows
+from snapquery.llm._shared import components, forget_kept, stored, text_bytes, whole_rows
 
 PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 
@@ -57,6 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for b in batches:
             fps = np.array([fingerprint(x, shingle, seed) for x in text_bytes(b.column(2))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["id", "text_hash", "fp"])
@@ -104,6 +105,7 @@ def anchors_of(fp: np.ndarray, home_only: bool) -> tuple[np.ndarray, np.ndarray]
 
 def _anchored(fps: DataFrame, home_only: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for b in batches:
             for k in range(0, b.num_rows, 4096):
                 fp = np.asarray(b.column(0).slice(k, 4096))
