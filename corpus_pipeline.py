@@ -1,7 +1,7 @@
 """A training-data pipeline: five stages, each written as Parquet and read again by the next.
 
 1. language identification: documents whose language cannot be told go
-2. SimHash near-duplicates: one document of each group stays
+2. near-duplicates: of documents that 5-word shingles of a Jaccard similarity of 0.8 or more link, one stays
 3. benchmark decontamination: documents that share a window of words with the benchmark go
 4. personal data: every span found is replaced by its kind in angle brackets
 5. best-fit packing: the pieces of what is left, with their places in sequences
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapquery.llm import decontam, langid, packing, pii, simhash
+from snapquery.llm import decontam, langid, packing, pii, similar
 from snapquery.llm._shared import stored
 from snapquery.llm.queries import TOKENIZER, tokenizer_path
 
@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

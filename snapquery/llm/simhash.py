@@ -143,11 +143,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_fp, "fp").select("id", "text_hash", "fp", "component_id", "label")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id (a null id only if there is no other)."""
-    classed = near_duplicates(docs, id_col, text_col, shingle, max_bits)
+def keep_first(docs: DataFrame, classed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the row of the smallest id of each ``label`` in ``classed`` (id, text_hash, label)."""
     first = classed.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "text_hash")).alias("k"))
     kept = stored(first.select(F.col("k.id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash")), "kept")
     rows = whole_rows(docs, id=F.col(id_col), text_hash=F.xxhash64(text_col))
     same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
     return rows.join(kept, same).dropDuplicates(["kept_id", "kept_hash"]).select("row.*")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest id (a null id only if there is no other)."""
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, shingle, max_bits), id_col, text_col)
