@@ -11,7 +11,8 @@ The sample has at most ``sample`` rows, chosen by a hash of the id; it also sets
 which holds ``held`` of the sample's own nearest neighbours.  All rows are indexed, in the tasks that
 read them, and queries are taken in blocks of ``block`` and probed in every task.  A task keeps the
 best of each query, so copies of a vector never become pairs: of equal vectors only the first
-``k`` + 1 ids can be among the best.
+``k`` + 1 ids can be among the best.  Queries that find fewer rows than ``k``, or than there are, are
+probed again with a growing radius, at last with all bits, which is a scan.
 
 Where neighbours are hardly nearer than other rows, as among random directions, the radius must be
 wide and most rows are retrieved; the work is then that of a scan for each query.
@@ -19,7 +20,8 @@ wide and most rows are retrieved; the work is then that of a scan for each query
 Nulls and edges: rows with a null id, and vectors that are null, zero, of another length than the
 most common one, or that hold a null or non-finite component take no part; ties go to the smaller id;
 a row is no neighbour of a query with its own id; fewer candidates than ``k`` give fewer rows; an empty
-table returns no rows.  Other columns are not read.
+table returns no rows.  Of rows that repeat a query's id the least vector is the query; a candidate
+that repeats an id takes one rank, with its best score.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -100,10 +102,13 @@ def fitted_radius(sample: np.ndarray, codes: Codes, k: int, held: float, queries
 
 
 def first_of_equals(vectors: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
-    """Rows, by id, without those that have ``most`` equal vectors of smaller id."""
+    """Rows, by id, without repeats of an id and vector and those that have ``most`` equal vectors of smaller id."""
     _, group = np.unique(np.ascontiguousarray(vectors).view([("", vectors.dtype)] * vectors.shape[1]).ravel(), return_inverse=True)
     order = np.lexsort((ids, group))
-    starts = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
+    new = np.concatenate([[True], group[order][1:] != group[order][:-1]])
+    once = new | np.concatenate([[True], ids[order][1:] != ids[order][:-1]])
+    order, new = order[once], new[once]
+    starts = np.flatnonzero(new)
     nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(order)]])))
     kept = order[nth < most]
     return kept[np.argsort(ids[kept], kind="stable")]
@@ -118,6 +123,13 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))
 
 
+def _best_ids(ids: np.ndarray, scores: np.ndarray, k: int, repeats: int) -> np.ndarray:
+    """The k greatest scores of different ids, of which each stands at most ``repeats`` times."""
+    best = _best(ids, scores, k * repeats)
+    _, first = np.unique(ids[best], return_index=True)  # the first is the greatest
+    return best[np.sort(first)][:k]
+
+
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vector) of the rows that take part, with components in double precision."""
     v = F.col("vector")
@@ -146,13 +158,14 @@ def _pass(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, codes: Codes, r
                 own_ids, own = np.asarray(part.column(0)), _matrix(part.column(1))
                 kept = first_of_equals(own, own_ids, k + 1)
                 own_ids, own = own_ids[kept], own[kept]
+                repeats = 1 + int(np.unique(own_ids, return_counts=True)[1].max())  # once among the best held
                 index = SubstringIndex(coder(own))
                 for i, (query_id, query) in enumerate(zip(query_ids, queries, strict=True)):
                     found = index.probe(query_codes[i], radius)
                     found = found[own_ids[found] != query_id]
                     near = np.concatenate([held_ids[i], own_ids[found]])
                     score = np.concatenate([held_scores[i], (own[found] * query).sum(axis=1)])
-                    best = _best(near, score, k)
+                    best = _best_ids(near, score, k, repeats)
                     held_ids[i], held_scores[i] = near[best], score[best]
         sizes = [len(x) for x in held_ids]
         if sum(sizes):
@@ -175,13 +188,22 @@ def neighbours(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     learned = _matrix(some.column("vector").combine_chunks())
     codes = Codes(learned, bits)
     radius = fitted_radius(learned, codes, k, held)
-    queries, parts, ids, vectors = valid.where(F.col("id") % every == 0), [], [], []
+    wanted = min(k, valid.select("id").distinct().limit(k + 1).count() - 1)
+    queries, parts, ids, vectors = valid.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector")), [], [], []
 
     def flush() -> None:
-        found = _pass(valid, np.array(ids, np.int64), np.array(vectors, np.float64), codes, radius, k)
-        parts.append(stored(found, "neighbours"))
+        block_ids, block_vectors, near = np.array(ids, np.int64), np.array(vectors, np.float64), radius
         ids.clear()
         vectors.clear()
+        while True:
+            parts.append(stored(_pass(valid, block_ids, block_vectors, codes, near, k), "neighbours"))
+            if near >= codes.bits:
+                return
+            sizes = parts[-1].groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= wanted)
+            short = ~np.isin(block_ids, np.asarray(sizes.select("query_id").toArrow().column(0).combine_chunks()))  # one block
+            if not short.any():
+                return
+            block_ids, block_vectors, near = block_ids[short], block_vectors[short], min(codes.bits, 2 * near + 4)
 
     for r in queries.toLocalIterator():
         ids.append(r.id)
@@ -195,5 +217,6 @@ def neighbours(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     every_part = parts[0]
     for p in parts[1:]:
         every_part = every_part.union(p)
+    every_part = every_part.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return every_part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

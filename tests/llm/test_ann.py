@@ -92,3 +92,17 @@ def test_recall_on_the_table(spark):
     score[np.arange(len(q)), q] = -np.inf
     best = {(int(ids[i]), int(ids[j])) for i, s in zip(q, score, strict=True) for j in np.argsort(-s)[:20]}
     assert len(rows) == 20 * len(q) and len(best & {(r.query_id, r.vec_id) for r in rows}) >= 0.9 * len(best)
+
+
+def test_scattered_queries_and_few_rows_get_all_they_can(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(5, 16))
+    rows = [(i, (rng.normal(size=16) * 3 if i % 100 == 0 else centres[i % 5] + rng.normal(scale=1e-3, size=16)).tolist()) for i in range(1500)]
+    found = {}
+    for r in neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 20).collect():
+        found.setdefault(r.query_id, []).append(r["rank"])
+    assert set(found) == set(range(0, 1500, 20)) and all(sorted(x) == list(range(1, 21)) for x in found.values())
+    for n in (15, 21):
+        few = [(20 * i, rng.normal(size=16).tolist()) for i in range(n)]
+        best = neighbours(spark.createDataFrame(few, "vec_id long, embedding array<double>"), 20, 20).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in best) == sorted((q, k + 1, i) for q, of in brute(few, 20, 20).items() for k, (i, _) in enumerate(of))
