@@ -174,8 +174,9 @@ def discover(found: DataFrame, rounds: int = 3, support: float = 1.0, confident:
     """
     edges = stored(_edges(found), "pii-edges")
     links = edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    size = links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count("seed").alias("seeds")).where("seeds > 0")
-    links = stored(links.join(size, "pattern"), "pii-links")  # patterns that no seed has can't become confident in the first round
+    size = links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count("seed").alias("seeds"))
+    size = size.where((F.col("seeds") > 0) | (F.col("n") / (F.col("n") + support) >= confident))  # others can't become confident in any round
+    links = stored(links.join(size, "pattern"), "pii-links")
     belief = links.where("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).distinct()
     fresh = links.where("seed is null").select("pattern", "instance")
     for _ in range(rounds):

@@ -82,6 +82,16 @@ def test_rounds_reach_further(spark, rounds):
     assert all(spans[i] == 1 for i in range(5))
 
 
+def test_patterns_without_a_seed_become_confident(spark):
+    docs = [(i, f"reach my desk line +1 234 555 12{i:02d} any day{i}") for i in range(30)]
+    docs += [(100 + i, f"reach my desk line 555-000-00{i:02d} any day{i}") for i in range(6)]
+    docs += [(200 + i, f"left{i} over the blue door 555-000-00{i:02d} right side{i}") for i in range(6)]  # no base span here
+    docs += [(300, "left over the blue door 555-000-7777 right side")]
+    found = {n: {r.id: len(r.spans) for r in personal_data(documents(spark, docs), rounds=n, believed=0.75).collect()} for n in (1, 2)}
+    assert all(found[n][100 + i] == found[n][200 + i] == 1 for n in (1, 2) for i in range(6))
+    assert found[1][300] == 0 and found[2][300] == 1
+
+
 def test_no_python_in_the_plan(spark):
     plan = personal_data(documents(spark, CALLS))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval", plan)
