@@ -106,3 +106,24 @@ def test_scattered_queries_and_few_rows_get_all_they_can(spark):
         few = [(20 * i, rng.normal(size=16).tolist()) for i in range(n)]
         best = neighbours(spark.createDataFrame(few, "vec_id long, embedding array<double>"), 20, 20).collect()
         assert sorted((r.query_id, r["rank"], r.vec_id) for r in best) == sorted((q, k + 1, i) for q, of in brute(few, 20, 20).items() for k, (i, _) in enumerate(of))
+
+
+def test_repeated_rows_take_one_rank(spark, rows):
+    valid = rows[:120]
+    more = valid + valid[:41] * 2 + [(7, valid[0][1])] * 70 + [(20, [9.0] * 16)]
+    df = spark.createDataFrame(more, "vec_id long, embedding array<double>").repartition(3)
+    found, want = {}, {}
+    for r in neighbours(df, 20, 20, held=1.0, bits=4).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    vectors = {}
+    for i, v in more:
+        vectors.setdefault(i, []).append(v)
+    for q in range(0, 120, 20):
+        scores = {i: max(float(np.dot(min(vectors[q]), v)) for v in vs) for i, vs in vectors.items() if i != q}
+        want[q] = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:20]
+    assert set(found) == set(want)
+    for q, best in found.items():
+        best.sort()
+        assert [b[0] for b in best] == list(range(1, 21)) and len({b[1] for b in best}) == 20
+        assert len({b[1] for b in best} & {i for i, _ in want[q]}) >= 18
+    assert first_of_equals(np.ones((9, 2)), np.array([4, 4, 4, 4, 2, 2, 4, 4, 9]), 2).tolist() == [4, 0]
