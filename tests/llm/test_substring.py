@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from snapquery.llm.substring import Automaton, long_spans, remove_repeats
+from snapquery.llm._words import VISIBLE, find_words
+from snapquery.llm.substring import Automaton, Shard, long_spans, remove_repeats
 from tests.llm.helpers import documents, empty, odd, words
 
 
@@ -56,11 +57,38 @@ def test_against_brute_force(spark, docs):
 
 def test_small_shards_and_hot_anchors_change_nothing(spark, docs):
     want = brute(docs, 50)
-    assert got(remove_repeats(documents(spark, docs), 50, shard_words=500)) == want
-    assert got(remove_repeats(documents(spark, docs), 50, hot=1)) == want
+    assert got(remove_repeats(documents(spark, docs), 50, shard_words=500, task_words=5000)) == want
+    assert got(remove_repeats(documents(spark, docs), 50, hot_words=100)) == want
     assert got(remove_repeats(documents(spark, docs), 10)) == brute(docs, 10)
 
 
+def test_words_whose_hashes_collide_are_told_apart(spark):
+    one, other = "a", "b"
+    for _ in range(11):  # Thue-Morse words of 2048 letters, equal under any polynomial modulo a power of two
+        one, other = one + other, other + one
+    assert find_words([one.encode()], VISIBLE).hash[0] == find_words([other.encode()], VISIBLE).hash[0]
+    same = [f"w{i}" for i in range(49)]
+    docs = [(1, " ".join([*same, one])), (2, " ".join([*same, other])), (3, " ".join([*same, other, "end"])), (4, " ".join([one, *same])), (5, " ".join([other, *same, one]))]
+    for sizes in ({}, {"hot_words": 1}):
+        assert got(remove_repeats(documents(spark, docs), 50, **sizes)) == brute(docs, 50)
+
+
+def test_a_shard_is_whole_anchors_up_to_a_number_of_words():
+    sizes = []
+
+    class Counted(Shard):
+        def spans(self, window):
+            sizes.append((self.size, set(self.anchors)))
+            return super().spans(window)
+
+    shard = Counted()
+    for i, text in enumerate((b"a b c d", b"b c d e", b"a b c d e")):
+        shard.put(7, bytes([i]), i == 1, i, text.split())
+    found = shard.spans(3).to_pydict()
+    assert list(zip(found["segment"], found["copy"], found["from"], found["to"], strict=True)) == [(b"\1", False, 0, 3), (b"\1", True, 0, 4), (b"\2", False, 0, 5)]
+    assert sizes == [(13, {7})]
+
+
 def test_empty(spark):
     assert remove_repeats(empty(spark)).collect() == []
 
