@@ -292,8 +292,9 @@ def removable(docs: DataFrame, window: int = 50, gram: int = GRAM, shard_words:
     texts = docs.join(wanted, ["id", "text_hash"]).select("id", "text", "wanted")
     texts = stored(texts.mapInArrow(_cut, f"anchor long, segment binary, copied boolean, large boolean, id {kind}, words string"), "reference")
     matched = _streamed(texts.where("not large"), window, shard_words, max(1, -(-total // task_words)))
-    exploded = _windows(texts.where("large"), kind, window)
-    earliest = exploded.groupBy("anchor", "digest").agg(F.min("id").alias("least"))
+    exploded = stored(_windows(texts.where("large"), kind, window), "hot-windows")
+    earliest = exploded.groupBy("anchor", "digest").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last")
+    earliest = stored(earliest.drop("last"), "earliest-windows")  # so that the join below is of two shuffles and splits where a window is hot
     compared = exploded.join(earliest, ["anchor", "digest"]).where("least < id").select(
         "anchor", "segment", F.lit(False).alias("copy"), "from", (F.col("from") + window).cast("int").alias("to")
     )
