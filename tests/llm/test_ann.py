@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from snapquery.llm.ann import Codes, SubstringIndex, distance, first_of_equals, neighbours
+from snapquery.llm.ann import Cell, Codes, Layout, distance, neighbours
 from tests.compare import DATA
 
 
@@ -45,9 +45,9 @@ def test_recall_scores_and_ties(spark, rows):
 
 def test_blocks_of_queries_and_few_candidates(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert sorted(map(tuple, neighbours(df, 5, 20, block=7).collect())) == sorted(map(tuple, neighbours(df, 5, 20).collect()))
+    assert sorted(map(tuple, neighbours(df, 5, 20, cell_rows=16).collect())) == sorted(map(tuple, neighbours(df, 5, 20).collect()))
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
-    assert sorted(map(tuple, neighbours(few, 20, 20, held=1.0).select("query_id", "rank", "vec_id").collect())) == [(0, 1, 3), (0, 2, 20), (20, 1, 3), (20, 2, 0)]
+    assert sorted(map(tuple, neighbours(few, 20, 20).select("query_id", "rank", "vec_id").collect())) == [(0, 1, 3), (0, 2, 20), (20, 1, 3), (20, 2, 0)]
 
 
 def test_nothing(spark):
@@ -58,19 +58,33 @@ def test_nothing(spark):
     assert neighbours(spark.createDataFrame([(20, [1.0, 2.0])], schema)).collect() == []
 
 
-def test_probing_finds_every_code_within_the_radius():
+def test_probing_finds_every_code_within_the_radius_once():
     rng = np.random.default_rng(4)
-    for bits in (5, 16, 40, 64):
-        codes = np.packbits(rng.random((500, bits)) > 0.5, axis=1)
-        index = SubstringIndex(codes)
-        for radius in (0, 1, 7, 8, 13, 22, 30):
-            for q in codes[:10]:
-                assert index.probe(q, radius).tolist() == np.flatnonzero(distance(codes, q) <= radius).tolist()
-
-
-def test_equal_vectors_are_cut_to_the_first_ids():
-    v = np.array([[1.0, 2], [1, 2], [3, 4], [1, 2]])
-    assert first_of_equals(v, np.array([9, 1, 5, 3]), 2).tolist() == [1, 3, 2]
+    for bits, rows, cell_rows in ((5, 500, 100), (16, 500, 16), (40, 5000, 300), (64, 500, 500), (64, 70_000, 5000)):
+        layout = Layout.of(bits, rows, cell_rows)
+        packed = np.zeros((300, 8), np.uint8)
+        packed[:, : (bits + 7) // 8] = np.packbits(rng.random((300, bits)) > 0.5, axis=1)
+        codes = packed.view(">u8").ravel().astype(np.uint64)
+        cells = [[int(j << 16) + (int(c) >> (64 - s - n) & ((1 << n) - 1)) for j, s in enumerate(layout.starts) for n in [min(layout.named, bits - s)]] for c in codes]
+        for radius in (0, 1, 7, 8, 13, 22, 30, bits):
+            queries, reached = layout.reached(codes[:10], np.full(10, radius))
+            found = [[] for _ in range(10)]
+            for q, cell in zip(queries.tolist(), reached.tolist(), strict=True):
+                own = [i for i, c in enumerate(cells) if c[cell >> 16] == cell]
+                if own:
+                    hit = layout.found(cell >> 16, codes[q] ^ codes[own][None, :], np.array([radius]))[0]
+                    found[q] += np.array(own)[hit].tolist()
+            for q in range(10):
+                assert sorted(found[q]) == np.flatnonzero(distance(codes, codes[q]) <= radius).tolist()
+
+
+def test_a_cell_returns_the_best_ids_once():
+    import pyarrow as pa
+
+    vectors = np.array([[3.0, 0], [2, 0], [2.5, 0], [1, 0]])
+    cell = Cell(Layout(2, 2, 0), 0, np.zeros(4, np.uint64), vectors, pa.array([[7], [1, 4, 9], [7, 8], [2]]), 3)
+    ids, score = next(cell.best(np.zeros(1, np.uint64), np.array([[1.0, 1]]), np.array([2])))
+    assert ids.tolist() == [7, 8, 1, 4] and score.tolist() == [3, 2.5, 2, 2]
 
 
 def test_codes_keep_neighbours_close():
@@ -126,4 +140,3 @@ def test_repeated_rows_take_one_rank(spark, rows):
         best.sort()
         assert [b[0] for b in best] == list(range(1, 21)) and len({b[1] for b in best}) == 20
         assert len({b[1] for b in best} & {i for i, _ in want[q]}) >= 18
-    assert first_of_equals(np.ones((9, 2)), np.array([4, 4, 4, 4, 2, 2, 4, 4, 9]), 2).tolist() == [4, 0]
