@@ -306,8 +306,8 @@ def _coded(df: DataFrame, codes: Codes) -> DataFrame:
 def _first_radii(queries: DataFrame, sample: np.ndarray, radii: Radii, rows: int, k: int) -> DataFrame:
     """``queries`` with ``safe``, the radius that the estimate of their k-th best product asks for, and ``radius``, that of the first probe."""
     shared = queries.sparkSession.sparkContext.broadcast((sample, radii))  # at most `sample` vectors
-    rank = max(1, round(k * len(sample) / rows))
-    part_of = rows > k * len(sample)
+    rank = 1 + round(k * len(sample) / rows)  # one more than expected, as a lower product asks for a wider radius
+    part_of = rows > 2 * k * len(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, radius = shared.value
