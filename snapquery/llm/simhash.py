@@ -8,7 +8,11 @@ of blocks has 2^24 anchors.  Each fingerprint has one home anchor (within the ra
 replicated to each anchor within radius plus threshold that can be a home of something at distance
 one: about 16 for a pair of blocks, 97 in all.  Homes and replicas meet by an equi-join on the anchor
 and are compared there in full.  Both numbers are constant for each fingerprint, so work grows with
-the number of distinct fingerprints until these are many times the anchors.
+the number of distinct fingerprints until these are many times the anchors.  Links are not all close
+pairs, but as many as join the same classes: one for each pair of classes that an earlier, linear
+search has left apart.
+
+A very long text is hashed in parts, whose bits are counted together.
 
 Nulls and edges: a null or blank text has no words and fingerprint zero; rows with a null id take
 part in links but are never the smallest id (a component of null ids only has a null component_id);
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 
 from snapquery.llm._shared import components, forget_kept, stored, text_bytes, whole_rows
 
+SALTED = 2000  # homes of an anchor that one task takes
+SENT = 500_000  # hot anchors that are broadcast, at most
 PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 
 
@@ -104,30 +110,50 @@ def anchors_of(fp: np.ndarray, home_only: bool) -> tuple[np.ndarray, np.ndarray]
 
 
 def _anchored(fps: DataFrame, home_only: bool) -> DataFrame:
+    """(anchor, fp, label) of ``fps`` (fp, label)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_kept()
         for b in batches:
             for k in range(0, b.num_rows, 4096):
-                fp = np.asarray(b.column(0).slice(k, 4096))
+                fp, label = (np.asarray(b.column(c).slice(k, 4096)) for c in (0, 1))
                 row, anchor = anchors_of(fp.view(np.uint64), home_only)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(fp[row])], names=["anchor", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(fp[row]), pa.array(label[row])], names=["anchor", "fp", "label"])
+
+    return fps.select("fp", "label").mapInArrow(run, "anchor int, fp long, label long")
 
-    return fps.select("fp").mapInArrow(run, "anchor int, fp long")
+
+def _met(homes: DataFrame, copies: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): labels of the fingerprints that an anchor brings together, where these differ in at most ``max_bits`` bits."""
+    salts = stored(homes.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("salts")).where("salts > 1"), "hot-anchors")
+    hot = salts.count()
+    if hot:  # homes of a hot anchor are dealt to several tasks, and replicas go to each of them
+        salts = F.broadcast(salts) if hot <= SENT else salts  # a checked number of anchors
+        homes = homes.join(salts, "anchor", "left").withColumn("salt", F.pmod(F.xxhash64("fp"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        every = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+        copies = copies.join(salts, "anchor", "left").withColumn("salt", F.explode(every)).drop("salts")
+    on = ["anchor", "salt"] if hot else ["anchor"]
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
+    both = copies.join(homes.withColumnsRenamed({"fp": "other", "label": "home"}), on)
+    return both.where((F.col("label") != F.col("home")) & (apart <= max_bits)).select(F.least("label", "home").alias("a"), F.greatest("label", "home").alias("b")).distinct()
 
 
 def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
-    """Pairs (a < b) of the distinct fingerprints ``fps`` (fp) that differ in at most ``max_bits`` (0 to 3) bits."""
+    """Links (a < b) that join the distinct fingerprints ``fps`` (fp) into the classes of all pairs of at most ``max_bits`` (0 to 3) bits.
+
+    First each home anchor links its fingerprints to the least of them where they are close, which
+    gives classes.  Then homes and replicas meet, and of the pairs that two classes share one link is
+    kept, between the classes' least fingerprints; pairs within a class are none.
+    """
     if not 0 <= max_bits <= 3:
         raise ValueError("four blocks serve up to three differing bits")
-    homes = _anchored(fps, True).withColumnRenamed("fp", "a")
-    copies = _anchored(fps, False).withColumnRenamed("fp", "b")
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return (
-        copies.join(homes.hint("shuffle_hash"), "anchor")
-        .where((F.col("a") < F.col("b")) & (apart <= max_bits))
-        .select("a", "b")
-        .distinct()
-    )
+    homes = stored(_anchored(fps.select("fp", F.col("fp").alias("label")), True), "homes")
+    hubs = homes.groupBy("anchor").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).where("a < last").drop("last")
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= max_bits
+    near = stored(homes.join(hubs, "anchor").where((F.col("a") < F.col("fp")) & close).select("a", F.col("fp").alias("b")).distinct(), "hub-links")
+    labels = components(near).withColumnRenamed("node", "fp")
+    classed = stored(fps.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "hub-classes")
+    return near.union(_met(_anchored(classed, True), _anchored(classed, False), max_bits))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
