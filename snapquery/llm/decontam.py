@@ -7,19 +7,23 @@ join of the kept hashes.  A joined hit is extended to its window, which is compa
 overlapping windows grow into spans.  Items shorter than a window are windows of their own length and
 keep their only gram.
 
-The benchmark is the small side: its fingerprints are joined inside the scan of the documents, so
-texts are never shuffled.  Its blocks hold at most ``block_words`` words; a larger benchmark takes
-several passes whose hits are merged by row.  Neither side is cut or sampled.
+A benchmark of at most ``block_words`` words (its size is checked) is joined inside the scan of the
+documents, so texts are never shuffled.  Of a larger one only a filter of the kept hashes goes into
+the scan, in ``FILTER`` bits whatever the benchmark; windows that pass it leave the scan as a
+cryptographic digest of their words and meet those of the items in a shuffle.  Either way documents
+are read once, no text is copied, and neither side is cut or sampled.
 
 Nulls and edges: a null or blank text has no words, hits and items; an item without words has no
 window; items with a null id cannot be named and are left out; items that share an id count once;
-repeated document rows each return a row; with no items or no documents the result has no items or no
-rows.  Other columns of the inputs are not read.
+repeated document rows each return a row; a very long document or item is taken whole (a long item
+makes the benchmark a large one); with no items or no documents the result has no items or no rows.
+Other columns of the inputs are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ from snapquery.llm._shared import forget_kept, stored, text_bytes, text_slices,
 from snapquery.llm._words import ALNUM, LOWER, Words, find_words, rolling
 
 GRAM = 5
+FILTER = 1 << 27  # bits; 16 MB in each task at most
 SPANS = "array<struct<first:int,last:int>>"
 
 
@@ -53,16 +58,14 @@ class Fingerprints:
     def __init__(self, ids: list[str], texts: list[bytes], window: int) -> None:
         words = find_words(texts, ALNUM, LOWER)
         count = np.diff(words.first)
-        self.windows: dict[bytes, tuple[str, ...]] = {}
+        self.windows: dict[bytes, set[str]] = {}
         self.kept: dict[int, np.ndarray] = {}
         for n in sorted({min(window, c) for c in count.tolist()} - {0}):
             at, kept = winnowed(words, n)
             own = np.minimum(count[words.text[at]], window) == n
             self.kept[n] = np.unique(kept[own])
             for i in at[own].tolist():
-                key, item = words.joined(i, n), ids[words.text[i]]
-                if item not in self.windows.get(key, ()):
-                    self.windows[key] = (*self.windows.get(key, ()), item)
+                self.windows.setdefault(words.joined(i, n), set()).add(ids[words.text[i]])
 
     def hits(self, words: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Whether each word is hit, and the items of each text that has any."""
@@ -79,25 +82,12 @@ class Fingerprints:
         return np.cumsum(edge[:-1]) > 0, found
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[tuple[list[str], list[bytes]]]:
-    """Items in blocks of at most ``block_words`` words, read one partition at a time."""
-    ids, texts, held = [], [], 0
-    rows = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
-    for item, text in rows.toLocalIterator():
-        raw = text.encode()
-        size = len(raw) // 2 + 1  # words at most
-        if texts and held + size > block_words:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-        ids.append(item)
-        texts.append(raw)
-        held += size
-    if texts:
-        yield ids, texts
+KIND = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
-def _scan(rows: DataFrame, key_type: str, block: tuple[list[str], list[bytes]] | None, window: int, only_hits: bool) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(Fingerprints(*block, window) if block else None)
+def _scan(rows: DataFrame, key_type: str, block: tuple[list[str], list[bytes]], window: int) -> DataFrame:
+    """(id, n_words, spans, items) of each row, with a benchmark that every task holds."""
+    shared = rows.sparkSession.sparkContext.broadcast(Fingerprints(*block, window))  # of at most block_words words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_kept()
@@ -106,25 +96,90 @@ def _scan(rows: DataFrame, key_type: str, block: tuple[list[str], list[bytes]] |
             for lo, hi in text_slices(b, "text", 1 << 20):
                 part = b.slice(lo, hi - lo)
                 words = find_words(text_bytes(part.column("text")), ALNUM, LOWER)
-                hit, found = index.hits(words) if index else (np.zeros(len(words.hash), bool), {})
+                hit, found = index.hits(words)
                 spans: list[list[dict[str, int]]] = [[] for _ in range(hi - lo)]
                 for t in found:
                     first, last = words.first[t], words.first[t + 1]
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], hit[first:last], [False]])))
                     spans[t] = [{"first": s, "last": e} for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
-                kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-                out = pa.RecordBatch.from_arrays(
+                yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("key"),
+                        part.column("id"),
                         pa.array(np.diff(words.first).astype(np.int64)),
-                        pa.array(spans, kind),
+                        pa.array(spans, KIND),
                         pa.array([sorted(found.get(t, ())) for t in range(hi - lo)], pa.list_(pa.string())),
                     ],
-                    names=["key", "n_words", "spans", "items"],
+                    names=["id", "n_words", "spans", "items"],
                 )
-                yield out.filter(pa.array([t in found for t in range(hi - lo)])) if only_hits else out
 
-    return rows.mapInArrow(run, f"key {key_type}, n_words long, spans {SPANS}, items array<string>")
+    return rows.mapInArrow(run, f"id {key_type}, n_words long, spans {SPANS}, items array<string>")
+
+
+def digest(words: bytes) -> bytes:
+    """128 bits that stand for the words of a window."""
+    return blake2b(words, digest_size=16).digest()
+
+
+def _item_windows(items: DataFrame, window: int) -> DataFrame:
+    """(n, kept, digest, item) of each window of each item (item, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
+        for b in batches:
+            for lo, hi in text_slices(b, "text", 1 << 18):
+                part = b.slice(lo, hi - lo)
+                words = find_words(text_bytes(part.column("text")), ALNUM, LOWER)
+                count = np.diff(words.first)
+                for n in sorted({min(window, c) for c in count.tolist()} - {0}):
+                    at, kept = winnowed(words, n)
+                    own = np.minimum(count[words.text[at]], window) == n
+                    at, kept = at[own], kept[own]
+                    digests = pa.array([digest(words.joined(i, n)) for i in at.tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), n, np.int32)), pa.array(kept.view(np.int64)), digests, part.column("item").take(pa.array(words.text[at]))],
+                        names=["n", "kept", "digest", "item"],
+                    )
+
+    return items.mapInArrow(run, "n int, kept long, digest binary, item string")
+
+
+def _candidates(rows: DataFrame, key_type: str, filters: dict[int, np.ndarray]) -> DataFrame:
+    """(id, row, n_words, windows): of each row the windows (n, at, digest) that a filter of kept hashes lets through."""
+    shared = rows.sparkSession.sparkContext.broadcast(filters)  # FILTER bits at most
+    kind = pa.list_(pa.struct([("n", pa.int32()), ("at", pa.int32()), ("digest", pa.binary())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
+        for b in batches:
+            for lo, hi in text_slices(b, "text", 1 << 20):
+                part = b.slice(lo, hi - lo)
+                words = find_words(text_bytes(part.column("text")), ALNUM, LOWER)
+                windows: list[list[dict]] = [[] for _ in range(hi - lo)]
+                for n, bits in shared.value.items():
+                    at, kept = winnowed(words, n)
+                    place = kept & np.uint64(len(bits) * 64 - 1)
+                    passed = bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1) > 0
+                    for i in at[passed].tolist():
+                        t = int(words.text[i])
+                        windows[t].append({"n": n, "at": i - int(words.first[t]), "digest": digest(words.joined(i, n))})
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(words.first).astype(np.int64)), pa.array(windows, kind)], names=["id", "n_words", "windows"])
+
+    found = rows.mapInArrow(run, f"id {key_type}, n_words long, windows array<struct<n:int,at:int,digest:binary>>")
+    return found.withColumn("row", F.monotonically_increasing_id())
+
+
+def _filters(windows: DataFrame) -> dict[int, np.ndarray]:
+    """Of each length of window, which values the low bits of kept hashes have."""
+    counts = {r.n: r.kept for r in windows.groupBy("n").agg(F.approx_count_distinct("kept").alias("kept")).collect()}  # one row for each length
+    out = {}
+    for n, kept in counts.items():
+        size = min(FILTER // (1 << len(counts).bit_length()), 1 << max(12, (16 * kept).bit_length()))
+        place = F.col("kept").bitwiseAND(F.lit(size - 1))
+        bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+        rows = windows.where(F.col("n") == n).select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        out[n] = np.zeros(size // 64, np.uint64)  # that many rows at most
+        out[n][np.asarray(rows.column("at").combine_chunks())] = np.asarray(rows.column("bits").combine_chunks()).view(np.uint64)
+    return out
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,35 +193,34 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     out.append(s)
             merged.append(out)
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(merged, b.schema.field("spans").type), b.column("items")], names=["key", "spans", "items"])
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(merged, KIND)], names=["row", "spans"])
+
+
+def _joined(rows: DataFrame, key_type: str, items: DataFrame, window: int) -> DataFrame:
+    """(id, n_words, spans, items) of each row, by a shuffle of the windows that can match."""
+    windows = stored(_item_windows(items, window), "item-windows")
+    found = stored(_candidates(rows, key_type, _filters(windows)), "document-windows")
+    of = windows.select("n", "digest", "item").distinct()
+    each = found.select("row", F.explode("windows").alias("w")).select("row", F.col("w.n").alias("n"), F.col("w.digest").alias("digest"), F.col("w.at").alias("at"))
+    known = stored(windows.select("n", "digest").distinct(), "known-windows")  # a join of two shuffles splits where a window is hot
+    hit = stored(each.join(known, ["n", "digest"]), "hit-windows")
+    spans = hit.groupBy("row").agg(F.collect_list(F.struct(F.col("at").alias("first"), (F.col("at") + F.col("n")).alias("last"))).alias("spans")).mapInArrow(_merge, f"row long, spans {SPANS}")
+    named = hit.select("row", "n", "digest").distinct().join(of, ["n", "digest"]).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = found.select("row", "id", "n_words").join(spans, "row", "left").join(named, "row", "left")
+    none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    return out.select("id", "n_words", none("spans", SPANS), none("items", "array<string>"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 8, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = 500_000) -> DataFrame:
     """(id, n_words, spans, items) of each row: hit spans in words (first inclusive, last exclusive) and sorted item ids as strings."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    blocks = _blocks(items, item_id_col, item_text_col, block_words)
-    first = next(blocks, None)
-    second = next(blocks, None)
-    if second is None:
-        return _scan(rows, kind, first, window, False).withColumnRenamed("key", "id")
-    rows = stored(rows.withColumnRenamed("key", "id").withColumn("key", F.monotonically_increasing_id()), "rows")
-    texts = rows.select("key", "text")
-    parts = [stored(_scan(texts, "long", first, window, False), "hits")]
-    parts.append(stored(_scan(texts, "long", second, window, True), "hits"))
-    parts.extend(stored(_scan(texts, "long", block, window, True), "hits") for block in blocks)
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
-    gathered = every.where(F.size("items") > 0).groupBy("key").agg(
-        F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    merged = gathered.mapInArrow(_merge, f"key long, spans {SPANS}, items array<string>")
-    none = parts[0].select("key", "n_words").join(rows.select("key", "id"), "key")
-    return none.join(merged, "key", "left").select(
-        "id", "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
-    )
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    wanted = items.where(F.col(item_id_col).isNotNull()).select(F.col(item_id_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    most = wanted.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0  # words at most
+    if most > block_words:
+        return _joined(rows, kind, wanted, window)
+    block = wanted.toArrow()
+    return _scan(rows, kind, (block.column("item").to_pylist(), text_bytes(block.column("text").combine_chunks())), window)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = 8, id_col: str = "doc_id", text_col: str = "text", least: int = 1, **names: str | int) -> DataFrame:

@@ -52,7 +52,24 @@ def test_against_brute_force(spark, case):
     want = brute(docs, items)
     assert any(len(r[3]) >= 2 for r in want) and sum(bool(r[3]) for r in want) > 20
     assert got(contamination(documents(spark, docs), frame)) == want
-    assert got(contamination(documents(spark, docs), frame, block_words=150)) == want  # several passes
+    assert got(contamination(documents(spark, docs), frame, block_words=150)) == want  # by a shuffle
+
+
+def test_a_filter_that_lets_everything_through_changes_nothing(spark, case, monkeypatch):
+    from snapquery.llm import decontam
+
+    docs, items = case
+    monkeypatch.setattr(decontam, "FILTER", 1 << 10)
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    assert got(contamination(documents(spark, docs), frame, block_words=0)) == brute(docs, items)
+
+
+def test_a_window_of_many_items(spark):
+    items = [(i, f"one and the same question for all {'x' * (i % 3)}") for i in range(3000)]
+    docs = [(1, "one and the same question for all"), (2, "say: one and the same question for all x"), (3, "one and the same")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    for block_words in (500_000, 0):
+        assert got(contamination(documents(spark, docs), frame, block_words=block_words)) == brute(docs, items)
 
 
 def test_empty_sides(spark, case):
@@ -60,6 +77,8 @@ def test_empty_sides(spark, case):
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(not r["items"] and not r.spans for r in contamination(documents(spark, docs), none).collect())
     assert contamination(empty(spark), spark.createDataFrame(items, "item_id long, text string")).collect() == []
+    assert contamination(empty(spark), spark.createDataFrame(items, "item_id long, text string"), block_words=0).collect() == []
+    assert all(not r["items"] and not r.spans for r in contamination(documents(spark, docs), none, block_words=-1).collect())
 
 
 def test_keep_clean(spark, case):
