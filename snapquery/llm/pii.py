@@ -8,13 +8,18 @@ belief among its identifiers, damped where these are few, and an identifier that
 kind by the noisy-or of its confident patterns.  After the rounds, identifiers of high belief are
 found wherever they stand, outside base spans.
 
+The words of a pattern are whole, however far they reach.  Graph and lookup hold each row by a number
+that is given when occurrences are stored, or each text by a 128-bit digest, never by a short hash.
+
 The base patterns are written without backtracking: possessive repeats, and look-behinds so that a
 search inside a run of the same characters fails at once.  They match what the plain patterns match.
 
 Nulls and edges: a null or empty text has no spans; offsets count code points, the end is exclusive;
 base spans of different kinds may overlap, as each kind is searched alone; added spans overlap no base
-span and each other at most by being equal; equal texts have equal spans, whatever their ids (null
-ones too); an empty table returns no rows.  Other columns are passed through by ``redact`` only.
+span and each other at most by being equal; of kinds that an identifier believes alike the first
+listed holds; equal texts have equal spans, whatever their ids (null ones too); in a very long text
+work grows nearly in proportion to its matches; an empty table returns no rows.  Discovered
+identifiers are single tokens without white space.  Other columns are passed through by ``redact`` only.
 """
 
 from __future__ import annotations
@@ -41,9 +46,11 @@ FORMS = {
     "card": r"^[0-9][0-9-]{11,22}[0-9]$",
     "phone": r"^[0-9(][0-9().-]{5,18}[0-9]$",
 }
-BLOCK = 256
-SENT = 200_000  # spans that are broadcast at most
-NEAR = 64  # characters looked at on either side for the words of a lexical pattern
+BLOCK = 256  # matches of a text that are placed together
+FEW = 64  # spans of a text that are compared together
+SENT = 200_000  # spans, or identifiers, that are broadcast at most
+#: Up to two words, with what parts them, at the start of a text.
+WORDS = r"^[\s\p{Punct}]*+(?:[^\s\p{Punct}]++[\s\p{Punct}]*+){0,2}"
 OCCURRENCE = "array<struct<kind:int,start:int,end:int,value:string,before:string,after:string>>"
 
 
@@ -60,7 +67,7 @@ def _found(text: Column, pattern: str, kind: int) -> Column:
         F.filter(zipped, lambda z: z["value"].isNotNull()),
         lambda z: F.struct(
             F.length(z["gap"]).alias("gap"), F.length(z["value"]).alias("n"), z["value"].alias("value"),
-            F.right(z["gap"], F.lit(NEAR)).alias("before"), F.left(z["next"], F.lit(NEAR)).alias("after"),
+            F.reverse(F.regexp_extract(F.reverse(z["gap"]), WORDS, 0)).alias("before"), F.regexp_extract(z["next"], WORDS, 0).alias("after"),
         ),
     )
     step = lambda acc, s: F.struct(
@@ -132,15 +139,35 @@ def _tokens(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), F.filter(moved, lambda m: m["end"] > m["start"])).otherwise(F.array().cast(OCCURRENCE))
 
 
+def _chunks(spans: Column) -> Column:
+    """Sorted spans in parts of ``FEW``, each with the range that it covers."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(spans), F.lit(1)) - 1) / FEW).cast("int")), lambda i: F.slice(spans, i * FEW + 1, F.lit(FEW)))
+    return F.filter(
+        F.transform(parts, lambda p: F.struct(p.alias("part"), F.get(p, 0)["start"].alias("start"), F.array_max(F.transform(p, lambda s: s["end"])).alias("end"))),
+        lambda c: c["start"].isNotNull(),
+    )
+
+
+def _apart(tokens: Column, base: Column) -> Column:
+    """Those of the tokens that overlap no base span; only parts whose ranges overlap are compared."""
+    spans = F.array_sort(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+    over = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+    def kept(chunks: Column) -> Column:
+        def of(c: Column) -> Column:
+            near = F.flatten(F.transform(F.filter(chunks, lambda b: over(b, c)), lambda b: b["part"]))
+            return _let(near, lambda n: F.filter(c["part"], lambda t: ~F.exists(n, lambda b: over(b, t))))
+
+        return F.flatten(F.transform(_chunks(tokens), of))
+
+    return F.when(F.size(base) == 0, tokens).otherwise(_let(_chunks(spans), kept))
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, text_size, base, tokens) of each row."""
+    """(id, base, tokens) of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    apart = lambda t, base: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    return (
-        docs.select(F.col(id_col).alias("id"), text.alias("_text"))
-        .select("id", F.xxhash64("_text").alias("text_hash"), F.octet_length("_text").alias("text_size"), base_occurrences(F.col("_text")).alias("base"), _tokens(F.col("_text")).alias("tokens"))
-        .withColumn("tokens", F.filter("tokens", lambda t: apart(t, F.col("base"))))
-    )
+    found = docs.select(F.col(id_col).alias("id"), text.alias("_text")).select("id", base_occurrences(F.col("_text")).alias("base"), _tokens(F.col("_text")).alias("tokens"))
+    return found.withColumn("tokens", _apart(F.col("tokens"), F.col("base")))
 
 
 def _edges(found: DataFrame) -> DataFrame:
@@ -200,11 +227,14 @@ def discover(found: DataFrame, rounds: int = 3, support: float = 1.0, confident:
     return best.join(seen, "instance", "left_anti")
 
 
-def _added(found: DataFrame, known: DataFrame) -> DataFrame:
-    """(text_hash, text_size, added): spans of discovered identifiers of each text that has any."""
-    tokens = found.where(F.size("tokens") > 0).select("text_hash", "text_size", F.explode("tokens").alias("o"))
-    spans = tokens.select("text_hash", "text_size", F.lower("o.value").alias("instance"), "o.start", "o.end").join(known, "instance")
-    return spans.groupBy("text_hash", "text_size").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
+def _added(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """(key, added): spans of discovered identifiers of each row or text that has any."""
+    known = stored(known, "pii-known")
+    if known.count() <= SENT:
+        known = F.broadcast(known)  # a checked number of identifiers; more of them are joined by a shuffle
+    tokens = found.where(F.size("tokens") > 0).select(key, F.explode("tokens").alias("o"))
+    spans = tokens.select(key, F.lower("o.value").alias("instance"), "o.start", "o.end").join(known, "instance")
+    return spans.groupBy(key).agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
 
 
 SPANS = "array<struct<kind:int,start:int,end:int>>"
@@ -212,28 +242,25 @@ SPANS = "array<struct<kind:int,start:int,end:int>>"
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bootstrap: float) -> DataFrame:
     """(id, base, spans) of each row: base spans and all spans, as (kind, start, end) by kind and start."""
-    found = stored(occurrences(docs, id_col, text_col), "pii-occurrences")
-    added = _added(found, discover(found, **bootstrap))
+    found = stored(occurrences(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii-occurrences")
+    added = _added(found, discover(found, **bootstrap), "row")
     base = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"))).cast(SPANS)
     every = F.array_sort(F.concat("base", F.coalesce(F.col("added").cast(SPANS), F.array().cast(SPANS))))
-    return (
-        found.select("id", "text_hash", "text_size", base.alias("base"))
-        .join(added, ["text_hash", "text_size"], "left")
-        .select("id", "base", every.alias("spans"))
-    )
+    return found.select("id", "row", base.alias("base")).join(added, "row", "left").select("id", "base", every.alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bootstrap: float) -> DataFrame:
     """``docs`` with each span, and each union of overlapping ones, replaced by its kind in angle brackets; a null text stays null."""
-    found = stored(occurrences(docs, id_col, text_col), "pii-occurrences")
-    added = stored(_added(found, discover(found, **bootstrap)), "pii-added")
+    named = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    found = stored(occurrences(docs.select(F.struct(named.alias("digest")).alias("id"), F.col(text_col)), "id", text_col).select("id.digest", "base", "tokens"), "pii-occurrences")
+    added = stored(_added(found, discover(found, **bootstrap), "digest"), "pii-added")
     if added.agg(F.coalesce(F.sum(F.size("added")), F.lit(0))).first()[0] <= SENT:
         added = F.broadcast(added)  # a checked number of spans; more of them are joined by a shuffle
     ranged = lambda c: F.transform(c, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind")))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = whole_rows(docs, text=text, text_hash=F.xxhash64(text), text_size=F.octet_length(text), base=ranged(base_occurrences(text)))
+    rows = whole_rows(docs, text=text, digest=named, base=ranged(base_occurrences(text)))
     spans = F.array_sort(F.concat("base", ranged(F.coalesce(F.col("added").cast(SPANS), F.array().cast(SPANS)))))
-    spanned = rows.join(added, ["text_hash", "text_size"], "left").select("row", "text", spans.alias("spans"))
+    spanned = rows.join(added, "digest", "left").select("row", "text", spans.alias("spans"))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     between = lambda acc, to: F.substring(F.col("text"), acc["at"] + 1, to - acc["at"])

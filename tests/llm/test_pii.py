@@ -1,9 +1,11 @@
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from snapquery.llm.pii import KINDS, personal_data, redact
+from snapquery.llm.pii import FORMS, KINDS, discover, occurrences, personal_data, redact
 from tests.llm.helpers import documents, empty, odd
 
 PLAIN = {
@@ -74,12 +76,82 @@ def test_redaction(spark):
     assert redact(empty(spark)).collect() == [] and personal_data(empty(spark)).collect() == []
 
 
-@pytest.mark.parametrize("rounds", [1, 2, 4])
-def test_rounds_reach_further(spark, rounds):
-    docs = [(i, f"reach my desk line {'+1 234 555 12' if i < 4 else '555-000-00'}{i:02d} any day{i}") for i in range(5)]
-    docs += [(10 + i, f"other {w} 555-000-0004 words{i} here{i}") for i, w in enumerate(("words", "terms", "things"))]
-    spans = {r.id: len(r.spans) for r in personal_data(documents(spark, docs), rounds=rounds, confident=0.5).collect()}
-    assert all(spans[i] == 1 for i in range(5))
+def brute_discover(docs, rounds, support=1.0, confident=0.6, believed=0.8):
+    """Bootstrapping in plain Python, from the texts."""
+    graph, seeds = set(), {}
+    word = re.compile(r"[^\s!-/:-@\[-`{-~]+")
+    for _, text in docs:
+        base = [(k, s, e) for k, s, e in brute(text)]
+        found = [(s, e) for _, s, e in base]
+        for m in re.finditer(r"\S+", text or ""):
+            own = re.search(r"[A-Za-z0-9(](?:\S*[A-Za-z0-9])?", m[0])
+            if own and re.search("[0-9@]", m[0]):
+                s, e = m.start() + own.start(), m.start() + own.end()
+                if not any(a < e and s < b for _, a, b in base):
+                    found.append((s, e))
+        for kind, s, e in base:
+            seeds.setdefault(text[s:e].lower(), set()).add(kind)
+        for s, e in found:
+            before, after = word.findall(text[:s].lower())[-2:], word.findall(text[e:].lower())[:2]
+            for p in (("<", *before), (">", *after), ("<>", *before[-1:], "|", *after[:1])):
+                if len(p) > 1 + (p[0] == "<>"):
+                    graph.add((p, text[s:e].lower()))
+    of = {}
+    for p, i in graph:
+        of.setdefault(p, set()).add(i)
+    belief = {(i, k): 1.0 for i, ks in seeds.items() for k in ks}
+    for _ in range(rounds):
+        confidence = {}
+        for p, members in of.items():
+            for k in range(4):
+                c = sum(belief.get((i, k), 0.0) for i in members) / (len(members) + support)
+                if c >= confident:
+                    confidence[p, k] = c
+        missing = {}
+        for (p, k), c in confidence.items():
+            for i in of[p]:
+                if i not in seeds and re.search(FORMS[KINDS[k]], i):
+                    missing[i, k] = missing.get((i, k), 1.0) * (1 - c)
+        belief = {(i, k): 1.0 for i, ks in seeds.items() for k in ks} | {key: 1 - m for key, m in missing.items()}
+    best = {}
+    for (i, k), b in belief.items():
+        if i not in seeds and b >= believed:
+            best[i] = max(best.get(i, (0.0, -9)), (b, -k))
+    return {i: -k for i, (_, k) in best.items()}
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_discovery_against_brute_force(spark, rounds):
+    rng = random.Random(20)
+    leads = ["reach my desk", "ring us on", "hotline desk number", "mail box", "host at", "the code"]
+    tails = ["any day", "or write", "for help", "thanks", ""]
+    values = [f"+1 234 555 {n}" for n in range(1200, 1215)] + [f"555-0{n}-77{n}" for n in range(10, 40)] + [f"a{n}@host" for n in range(6)] + [f"u{n}@mail.org" for n in range(6)] + [f"10.0.0.{n}" for n in range(9)] + [f"fe80:{n}:0:1" for n in range(9)]
+    docs = []
+    for i in range(260):
+        lead = rng.choice(leads)
+        some = [v for j, v in enumerate(values) if (j * 7 + leads.index(lead)) % 3 == 0]
+        docs.append((i, f"{rng.choice(['x', 'y' * 90, 'see'])} {lead} {rng.choice(some)}, {rng.choice(tails)}"))
+    found = occurrences(documents(spark, docs), "doc_id", "text")
+    got = {r.instance: r.kind for r in discover(found, rounds, confident=0.2, believed=0.3).collect()}
+    want = brute_discover(docs, rounds, confident=0.2, believed=0.3)
+    assert got == want and len(want) >= 3
+
+
+def test_many_matches_in_one_text_take_near_linear_time(spark):
+    text = " ".join(f"u{i}@mail.org x{i}y" for i in range(16_000))
+    began = time.perf_counter()
+    row = occurrences(documents(spark, [(1, text)]), "doc_id", "text").select(F.size("base").alias("base"), F.size("tokens").alias("tokens")).first()
+    assert (row.base, row.tokens) == (16_000, 16_000) and time.perf_counter() - began < 15
+
+
+def test_tokens_keep_apart_from_base_spans(spark):
+    rng = random.Random(6)
+    docs = [(i, "".join(rng.choice(["10.0.0.7", "a@b.co", " ", "-", "9", "x1", ", ", "4111 1111 1111 1111", "+1 234 555 1234"]) for _ in range(rng.randrange(300)))) for i in range(60)]
+    for r in occurrences(documents(spark, docs), "doc_id", "text").collect():
+        base = [(b.start, b.end) for b in r.base]
+        tokens = [(t.start, t.end) for t in r.tokens]
+        own = [(m.start() + n.start(), m.start() + n.end()) for m in re.finditer(r"\S+", docs[r.id][1]) if re.search("[0-9@]", m[0]) and (n := re.search(r"[A-Za-z0-9(](?:\S*[A-Za-z0-9])?", m[0]))]
+        assert tokens == [t for t in own if not any(a < t[1] and t[0] < b for a, b in base)]
 
 
 def test_patterns_without_a_seed_become_confident(spark):
