@@ -4,15 +4,20 @@ Where a text may hold a template is settled by counting: a window of the text, h
 the template, must hold enough of the template's words.  There template and text are aligned: equal
 ends are matched, then the words that occur once on either side anchor the rest, of them the longest
 increasing subsequence is kept, and the gaps between anchors are aligned in the same way.  The
-coverage is the share of the template's words that are matched.
+coverage is the share of the template's words that are matched.  A template of at most ``SHORT`` words
+must stand word for word and without gaps, since few words are soon found in any order of a sentence.
 
 A window without enough of the template's words cannot reach the coverage asked for, so none is lost
 by the count, and texts without enough of the words anywhere are passed at the cost of a set lookup.
 
+Templates are given as a mapping or as a table (``templates_of``); those below are the default.
+
 Nulls and edges: words are runs of letters and digits, in lower case; a null or empty text holds no
-license; a template may be found several times, and templates may overlap; rows with a null id are
-carried along; repeated rows each return a row; an empty table returns no rows.  Other columns are not
-read.
+license; a template may be found several times, but not overlap itself; different templates may
+overlap or cover the same words, and each is returned, in the order of the templates and then of the
+places; a template without words is none; a very long text is scanned in one pass over the places of
+the templates' words; rows with a null id are carried along; repeated rows each return a row; an empty
+table returns no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -70,6 +75,9 @@ TEMPLATES = {
     "all rights reserved": "All rights reserved",
 }
 
+SHORT = 12  # words
+TEMPLATE_BYTES = 16 << 20  # of all templates, at most: each task holds them
+
 words_of = re.compile(r"[^\W_]+").findall
 
 
@@ -131,10 +139,11 @@ class Scanner:
             return len(words), []
         where = [i for i, w in enumerate(words) if w in present]
         for name, template, counts in self.templates:
-            need = self.least * len(template)
+            short = len(template) <= SHORT
+            need = len(template) if short else self.least * len(template)
             if sum(n for w, n in counts.items() if w in present) < need:
                 continue
-            places, width, skip = [i for i in where if words[i] in counts], -(-3 * len(template) // 2), -1
+            places, width, skip = [i for i in where if words[i] in counts], len(template) if short else -(-3 * len(template) // 2), -1
             end = 0
             for k, first in enumerate(places):
                 while end < len(places) and places[end] < first + width:
@@ -143,18 +152,28 @@ class Scanner:
                     continue
                 matched = align(template, words[first : first + width])
                 coverage = len(matched) / len(template)
-                if coverage >= self.least:
+                if len(matched) >= need:
                     skip = first + matched[-1][1] + 1
                     found.append((name, coverage, first + matched[0][1], skip))
         return len(words), found
 
 
+def templates_of(table: DataFrame, name_col: str = "name", text_col: str = "text") -> dict[str, str]:
+    """Templates from a table, in the order of their names; its size is checked, and rows with a null are left out."""
+    rows = table.select(F.col(name_col).cast("string").alias("name"), F.col(text_col).alias("text")).dropna()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"templates of {size} bytes; at most {TEMPLATE_BYTES}")
+    return {r.name: r.text for r in rows.orderBy("name", "text").collect()}
+
+
 FOUND = "array<struct<template:string,coverage:double,first:int,last:int>>"
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, least: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, found) of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
+    templates = templates_of(templates) if isinstance(templates, DataFrame) else templates
     scanner = Scanner(TEMPLATES if templates is None else templates, least)
     fields = pa.list_(pa.struct([("template", pa.string()), ("coverage", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
 
