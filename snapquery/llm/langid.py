@@ -7,7 +7,8 @@ greatest sum over all words of the text wins; the score is its share when the me
 counts as often as there are words, up to ``WEIGHT``.
 
 Fitting reads a sample bounded in rows for each language (``rows``, chosen by a hash of the id) and
-keeps the most frequent entries of each language (``vocabulary``); the counts are taken in parallel.
+keeps the most frequent entries of each language (``vocabulary``; None keeps all of the sample's, at
+the price of a model that is as large as its words); the counts are taken in parallel.
 
 Nulls and edges: a text that is null or has no letter is ``und`` with score 0, as is any text if
 there was nothing to learn from; rows with a null language, text or id teach nothing; ties go to the
@@ -131,12 +132,14 @@ def _gram_counts(words: DataFrame, longest: int) -> DataFrame:
     return words.mapInArrow(run, "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
 
 
-def _vectors(counts: DataFrame, languages: list[str], vocabulary: int) -> Table:
-    """Smoothed log frequencies of the entries that are among the most frequent of any language."""
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "entry")))
-    kept = counts.join(ranked.where(F.col("r") <= vocabulary).select("entry").distinct(), "entry")
+def _vectors(counts: DataFrame, languages: list[str], vocabulary: int | None) -> Table:
+    """Smoothed log frequencies of the entries that are among the most frequent of any language, or of all."""
+    kept = counts
+    if vocabulary is not None:
+        ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "entry")))
+        kept = counts.join(ranked.where(F.col("r") <= vocabulary).select("entry").distinct(), "entry")
     column = {lang: i for i, lang in enumerate(languages)}
-    found = kept.toArrow()  # at most `vocabulary` entries of each language
+    found = kept.toArrow()  # at most `vocabulary` entries of each language; without it, those of a bounded number of rows
     entries = found.column("entry").combine_chunks().dictionary_encode()
     table = np.zeros((len(entries.dictionary), len(languages)))
     table[np.asarray(entries.indices), [column[x] for x in found.column("lang").to_pylist()]] = np.asarray(found.column("n"))
@@ -144,7 +147,7 @@ def _vectors(counts: DataFrame, languages: list[str], vocabulary: int) -> Table:
     return {k: i for i, k in enumerate(entries.dictionary.to_pylist())}, logs.astype(np.float32)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 3000, vocabulary: int = 20_000, longest: int = 4) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 3000, vocabulary: int | None = 20_000, longest: int = 4) -> Model:
     """Learn from about ``rows`` rows of each language at most."""
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
