@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 import numpy as np
@@ -20,6 +21,8 @@ T_ = TypeVar("T_")
 
 #: What the running worker process keeps from task to task: of one operator at a time, as workers serve all in turn.
 _KEPT: dict[object, object] = {}
+#: Open scopes, each with the folders that were stored in it.
+_SCOPES: list[list[str]] = []
 #: Folder used where the session names none, which only a single-machine session may do.
 _OWN: dict[str, str] = {}
 
@@ -50,10 +53,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/snapquery/{name}-{uuid.uuid4().hex}"
+    for of_scope in _SCOPES:
+        of_scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables stored inside the block are removed at its end; write results elsewhere before.
+
+    The list has the tables' folders in order; what is taken out of it stays.
+    """
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES[:] = [s for s in _SCOPES if s is not paths]
+        remove(spark, paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders, wherever Spark finds them."""
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts hold about ``max_bytes`` at most (one row at least)."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
@@ -113,25 +141,26 @@ def components(edges: DataFrame) -> DataFrame:
     Labels fall to the smallest label among the neighbours, then each label is replaced by its own
     label (pointer jumping), until a round changes none.  Every round's labels are stored.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    labels = stored(
-        both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels"
-    )
-    while True:
-        best = (
-            both.join(labels.select(F.col("node").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        moved = labels.join(best, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("to"))
-        roots = labels.select(F.col("node").alias("to"), F.col("label").alias("jump"))
-        following = stored(
-            moved.join(roots, "to", "left").select("node", "old", F.least("to", "jump").alias("label")), "labels"
+    with scratch(edges.sparkSession) as folders:
+        both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
+        labels = stored(
+            both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels"
         )
-        done = following.where("label < old").isEmpty()
-        labels = following.select("node", "label")
-        if done:
-            return labels
+        while True:
+            best = (
+                both.join(labels.select(F.col("node").alias("b"), "label"), "b")
+                .groupBy(F.col("a").alias("node"))
+                .agg(F.min("label").alias("near"))
+            )
+            moved = labels.join(best, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("to"))
+            roots = labels.select(F.col("node").alias("to"), F.col("label").alias("jump"))
+            following = stored(
+                moved.join(roots, "to", "left").select("node", "old", F.least("to", "jump").alias("label")), "labels"
+            )
+            labels = following.select("node", "label")
+            if following.where("label < old").isEmpty():
+                folders.pop()  # the result
+                return labels
 
 
 def whole_rows(docs: DataFrame, **columns: Column) -> DataFrame:

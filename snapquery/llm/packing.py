@@ -7,7 +7,7 @@ pattern with a multiplicity, and a step places as many pieces as the best-fittin
 sequences.  The pieces then take the planned slots by a join on their rank within their length.
 
 Nulls and edges: a null text is empty, and an empty text is one piece that holds the closing id alone;
-a document of k * capacity ids gives k full pieces; a null id is carried along; repeated rows are
+a document of k * capacity ids gives k full pieces, and a very long one as many as it needs; a null id is carried along; repeated rows are
 packed one by one; an empty table returns no rows.  Other columns of the input are not read.
 """
 

@@ -4,7 +4,7 @@ Law ``key``: the id and the number of shards decide the shard; with one more sha
 where it is or moves to the new shard.  No ring table exists: each task computes the jumps of its ids.
 
 Nulls and edges: a null id is hashed like any value, so such rows share a shard; a null text has size
-16 and the checksum of no bytes; repeated rows go to one shard and get slots of their own; an empty
+16 and the checksum of no bytes; a very long text is only measured and checksummed; repeated rows go to one shard and get slots of their own; an empty
 table returns no rows.  Other columns of the input are not read.
 """
 
@@ -64,6 +64,11 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     return numbered(rows, "shard").withColumnRenamed("rank", "slot")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id") -> None:
-    """Write whole rows as Parquet folders ``shard=N``; a large shard is written by many tasks, in many files."""
-    docs.withColumn("shard", shard_of(F.col(id_col), shards)).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", name: str = "shard") -> None:
+    """Write whole rows as Parquet folders ``name=N``; a large shard is written by many tasks, in many files.
+
+    A column of the input with that name would be lost, so it is refused.
+    """
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {name!r}; give the folders another name")
+    docs.withColumn(name, shard_of(F.col(f"`{id_col}`"), shards)).write.partitionBy(name).parquet(path)

@@ -11,7 +11,8 @@ probability is set by Zipf's law from its rank (``zipf_scores``); any other scor
 character that no piece has is written as the pieces of its UTF-8 bytes.  Of equally good paths the
 one with fewer pieces counts.
 
-Nulls and edges: a null, empty or blank text has no tokens; rows with a null id are carried along;
+Nulls and edges: a null, empty or blank text has no tokens; a very long text is counted whole, and a
+very long word costs its length times that of the longest piece; rows with a null id are carried along;
 repeated rows each return a row; an empty table returns no rows.  Other columns are not read.
 """
 

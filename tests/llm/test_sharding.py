@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from snapquery.llm.sharding import jump_hash, shard, write_shards
 from tests.llm.helpers import documents, empty, odd
@@ -54,6 +55,12 @@ def test_a_third_of_rows_under_one_id(spark):
 
 
 def test_written_shards(spark, tmp_path):
-    write_shards(documents(spark, [(i, f"t{i}") for i in range(50)]).drop("_task", "row"), str(tmp_path / "s"), 4)
+    df = documents(spark, [(i, f"t{i}") for i in range(50)]).withColumn("shard", F.lit("own"))
+    with pytest.raises(ValueError):
+        write_shards(df, str(tmp_path / "s"), 4)
+    write_shards(df, str(tmp_path / "t"), 4, name="part")
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert {r.shard for r in rows.collect()} == {"own"} and set(df.columns) < set(rows.columns)
+    write_shards(df.drop("shard"), str(tmp_path / "s"), 4)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 50 and {r.shard for r in back.select("shard").distinct().collect()} <= {0, 1, 2, 3}

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-import corpus_pipeline
+from snapquery.llm import stages
 from snapquery.llm import similar
 from snapquery.llm.simhash import keep_one as keep_by_bits
 from tests.llm.helpers import documents, empty, odd, words
@@ -76,7 +76,7 @@ def test_all_links_against_brute_force(spark, docs, monkeypatch, common):
 
 def test_the_stage_drops_copies_at_0_8_to_0_95(spark, docs):
     df = documents(spark, docs)
-    kept = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    kept = stages.drop_near_duplicates(spark, df, "")
     assert kept.columns == df.columns
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
     assert ids == brute_kept(docs)

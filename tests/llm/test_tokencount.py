@@ -9,11 +9,11 @@ P = pytest.importorskip("public_tokenizers")
 
 
 def brute(word, scores, byte):
-    best = [(0.0, 0)]
+    best, longest = [(0.0, 0)], max(map(len, scores))
     for end in range(1, len(word) + 1):
         n = len(word[end - 1].encode())
         options = [(best[end - 1][0] + n * byte, -(best[end - 1][1] + n))]
-        options += [(best[s][0] + scores[word[s:end]], -(best[s][1] + 1)) for s in range(end) if word[s:end] in scores]
+        options += [(best[s][0] + scores[word[s:end]], -(best[s][1] + 1)) for s in range(max(0, end - longest), end) if word[s:end] in scores]
         score, count = max(options)
         best.append((score, -count))
     return best[-1][1]
@@ -32,8 +32,7 @@ def test_counts(spark):
     scores = zipf_scores(P.path("piece_bpe_32k.model"))
     counter = TrieCounter(scores)
     docs = odd()
-    want = sorted(((i, len((t or "").split()), sum(brute(SPACE + w, scores, counter.byte) for w in (t or "").split() if len(w) < 100)) for i, t in docs if i != 10), key=str)
+    want = sorted(((i, len((t or "").split()), sum(brute(SPACE + w, scores, counter.byte) for w in (t or "").split())) for i, t in docs), key=str)
     rows = token_counts(documents(spark, docs), scores).collect()
-    assert sorted((tuple(r) for r in rows if r.id != 10), key=str) == want
-    assert next(r for r in rows if r.id == 10).n_tokens > 1000
+    assert sorted((tuple(r) for r in rows), key=str) == want
     assert token_counts(empty(spark), scores).collect() == []
