@@ -6,56 +6,18 @@
 4. personal data: every span found is replaced by its kind in angle brackets
 5. best-fit packing: the pieces of what is left, with their places in sequences
 
-Stages 1 to 4 return the columns of ``documents``; ``n_chars`` follows the text where that changes.
-A null text has no language and goes in the first stage; repeated rows meet in the second.
+Stages 1 to 4 return the columns of ``documents``; ``n_chars`` follows the text where that changes, and
+columns whose names clash with those that a stage uses are carried through.  A null, empty or
+letterless text has no language and goes in the first stage; repeated rows meet in the second; of
+equal candidates there the smallest id stays; a very long text is taken whole by every stage; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from snapquery.llm import decontam, langid, packing, pii, similar
-from snapquery.llm._shared import stored
-from snapquery.llm.queries import TOKENIZER, tokenizer_path
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep_identified(docs, langid.fit(docs))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.keep_one(docs)
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    redacted = pii.redact(docs)
-    return redacted.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else redacted
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path(TOKENIZER)).withColumnRenamed("id", "doc_id")
-
-
-STAGES = [
-    ("language identification", identify_language),
-    ("near-duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("personal data", redact_personal_data),
-    ("packing", pack_sequences),
-]
+from snapquery.llm.stages import STAGES, run
 
 #: A tokenizer and a learned model take part, which SQL cannot express; the tests hold ``run`` against plain Python.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
