@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +42,17 @@ def snapshot(spark: SparkSession, sf_dir: str, table: str) -> Snapshot:
     return Snapshot.from_parquet(spark, f"{sf_dir}/{table}.parquet", KEYS[table])
 
 
+def _folder(spark: SparkSession) -> str:
+    """For what a query writes and reads back: the session's shared folder; a local master may do without one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="snapquery-")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> Query:
     """Line items with the derived columns."""
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -136,6 +150,27 @@ query("filter_in", "part", PART + "p_size IN (3, 5, 8)")(lambda q: q.where(c.p_s
 query("filter_between", "part", PART + "p_size BETWEEN 10 AND 12")(lambda q: q.where(c.p_size.between(10, 12)).select("p_partkey", "p_size"))
 query("filter_column_compare", "lineitem", LINE + "lineitem WHERE l_tax > l_discount")(lambda q: q.where(c.l_tax > F.col("l_discount")).select(*_line))
 
+query("filter_column_compare_nan", "lines", LINE + LINES + " WHERE NOT isnan(rate) AND rate > l_tax")(lambda q: q.where(c.rate > c.l_tax).select(*_line))
+query("filter_column_compare_nan_flipped", "lines", LINE + LINES + " WHERE NOT isnan(rate) AND l_tax < rate")(lambda q: q.where(c.l_tax < F.col("rate")).select(*_line))
+query("filter_column_equal_nan", "lines", LINE + LINES + " WHERE NOT isnan(rate)")(lambda q: q.where(c.rate == F.col("rate")).select(*_line))
+query("filter_column_ne_nan", "lines", LINE + LINES + " WHERE isnan(rate) OR rate <> l_tax")(lambda q: q.where(c.rate != c.l_tax).select(*_line))
+query("filter_column_equal", "lines", LINE + LINES + " WHERE quantity = l_linenumber")(lambda q: q.where(c.quantity == c.l_linenumber).select(*_line))
+query("filter_column_string_ne", "lines", LINE + LINES + " WHERE line_status IS DISTINCT FROM l_linestatus")(lambda q: q.where(c.line_status != c.l_linestatus).select(*_line))
+query("filter_in_nan", "lines", LINE + LINES + " WHERE rate IN (0.05, 0.07) AND NOT isnan(rate)")(lambda q: q.where(c.rate.isin(0.05, 0.07, float("nan"))).select(*_line))
+
+
+@register("filter_date", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-02-01' AND DATE '1996-03-15'")
+def filter_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    return Snapshot.from_df(df, ["o_orderkey"]).query().where(c.day.between(dt.date(1996, 2, 1), dt.date(1996, 3, 15))).to_df(False)
+
+
+@register("carried_types", "SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS n FROM embeddings WHERE label = 3")
+def carried_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of a type that is only carried along."""
+    return Snapshot.from_parquet(spark, f"{sf_dir}/embeddings.parquet", ["vec_id"]).query().where(c.label == 3).select("vec_id", "label", n=F.size("embedding")).to_df(False)
+
+
 # aggregates over all rows; sums of doubles go through decimals, as the order of additions differs
 
 query("agg_count", "lineitem", "SELECT count(*) AS n FROM lineitem")(lambda q: q.aggregate_df(n=count()))
@@ -302,6 +337,20 @@ def join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot(spark, sf_dir, "customer").query().join(large, {"c_custkey": "o_custkey"}, "left").select("c_custkey", "o_orderkey").to_df(False)
 
 
+@register("join_right", "SELECT c_custkey, c_acctbal, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 5000) RIGHT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey")
+def join_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    large = snapshot(spark, sf_dir, "orders").query().where(c.o_totalprice > 400000)
+    rich = snapshot(spark, sf_dir, "customer").query().where(c.c_acctbal > 5000)
+    return rich.join(large, {"c_custkey": "o_custkey"}, "right").select("c_custkey", "c_acctbal", "o_orderkey").to_df(False)
+
+
+@register("join_full", "SELECT c_custkey, c_acctbal, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 5000) FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey")
+def join_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    large = snapshot(spark, sf_dir, "orders").query().where(c.o_totalprice > 400000)
+    rich = snapshot(spark, sf_dir, "customer").query().where(c.c_acctbal > 5000)
+    return rich.join(large, {"c_custkey": "o_custkey"}, "full").select("c_custkey", "c_acctbal", "o_orderkey").to_df(False)
+
+
 @register("group_join_left", "SELECT c_custkey, CAST(coalesce(n, 0) AS BIGINT) AS n, coalesce(greatest, NULL) AS greatest FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS greatest FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
 def group_join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = snapshot(spark, sf_dir, "customer").query().group_join(snapshot(spark, sf_dir, "orders"), {"c_custkey": "o_custkey"}, n=count(), greatest=max_("o_totalprice"))
@@ -336,6 +385,31 @@ sql("sql_in_between", "part", "SELECT p_partkey FROM part\nWHERE p_size IN (1, 2
 sql("sql_order_alias", "part", "SELECT p_partkey AS k, p_size FROM part ORDER BY p_size DESC, k LIMIT 7")
 
 
+sql("sql_extract", "orders", "SELECT o_orderkey FROM t WHERE EXTRACT(YEAR FROM o_orderdate) = 1997 AND EXTRACT(MONTH FROM o_orderdate) <= 3", "SELECT o_orderkey FROM orders WHERE EXTRACT(YEAR FROM o_orderdate) = 1997 AND EXTRACT(MONTH FROM o_orderdate) <= 3")
+sql("sql_extract_select", "orders", "SELECT CAST(EXTRACT(YEAR FROM o_orderdate) AS BIGINT) AS y, o_orderkey FROM t WHERE o_totalprice > 300000", "SELECT CAST(EXTRACT(YEAR FROM o_orderdate) AS BIGINT) AS y, o_orderkey FROM orders WHERE o_totalprice > 300000")
+sql("sql_computed", "part", "SELECT p_partkey, p_size * 2 + 1 AS odd, upper(p_name) AS name FROM part WHERE p_size < 30")
+sql("sql_star", "nation", "SELECT * FROM nation WHERE n_regionkey > 1")
+
+
+@register("sql_typed_literal", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '2001-01-01'")
+def sql_typed_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A literal's type beside a column of that name."""
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
+    return Snapshot.from_df(df, ["o_orderkey"]).sql("SELECT o_orderkey, date FROM t WHERE date >= DATE '2001-01-01'")
+
+
+@dataclass
+class _Brand:
+    p_brand: str
+    n: int
+
+
+@register("sql_typed_rows", "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand")
+def sql_typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = snapshot(spark, sf_dir, "part").sql_rows("SELECT p_brand, COUNT(*) AS n FROM part GROUP BY p_brand", _Brand)
+    return spark.createDataFrame([(b.p_brand, b.n) for b in found], "p_brand string, n long")
+
+
 @register("sql_scalar", "SELECT CAST(max(p_size) AS INTEGER) AS v FROM part")
 def sql_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(snapshot(spark, sf_dir, "part").sql_scalar("SELECT MAX(p_size) FROM t"),)], "v int")
@@ -384,6 +458,101 @@ def ipc_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Snapshot.from_ipc(spark, snapshot(spark, sf_dir, "nation").to_ipc_bytes("lz4"), wide, ReadOptions()).df(False)
 
 
+@register("ipc_path", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def ipc_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by many tasks and read by many."""
+    path = f"{_folder(spark)}/ipc-{uuid.uuid4().hex}"
+    snapshot(spark, sf_dir, "customer").write_ipc(path, "zstd")
+    return Snapshot.from_ipc(spark, path).df(False)
+
+
+@register("ipc_path_overwritten", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def ipc_path_overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second write replaces the first."""
+    path = f"{_folder(spark)}/ipc-{uuid.uuid4().hex}"
+    for _ in range(2):
+        snapshot(spark, sf_dir, "nation").write_ipc(path, "lz4", "overwrite")
+    return Snapshot.from_ipc(spark, path).df(False)
+
+
+@register("ipc_buffers", "SELECT * FROM nation")
+def ipc_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = snapshot(spark, sf_dir, "nation").to_ipc_bytes()
+    return Snapshot.from_ipc(spark, [data[:100], data[100:]]).df(False)
+
+
+@register("copied_snapshot", "SELECT * FROM nation")
+def copied_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy that a later change of the source leaves alone."""
+    return Snapshot.from_parquet(spark, f"{sf_dir}/nation.parquet", ["n_nationkey"], copy_to=f"{_folder(spark)}/copies").df(False)
+
+
+@register("enumerate_rows", "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey <> 2")
+def enumerate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows one after another."""
+    found = snapshot(spark, sf_dir, "nation").query().where(c.n_regionkey != 2).select("n_name", "n_regionkey")
+    return spark.createDataFrame(list(found), "n_name string, n_regionkey int")
+
+
+@register("count_property", "SELECT CAST(count(*) AS BIGINT) AS n FROM lineitem")
+def count_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(len(snapshot(spark, sf_dir, "lineitem")),)], "n long")
+
+
+@register("to_arrow", "SELECT n_name FROM nation WHERE n_regionkey = 1")
+def to_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(snapshot(spark, sf_dir, "nation").query().where(c.n_regionkey == 1).select("n_name").to_arrow())
+
+
+@register("last", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 1")
+def last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([snapshot(spark, sf_dir, "orders").query().order_by("o_totalprice").select("o_orderkey", "o_totalprice").last()], "o_orderkey long, o_totalprice double")
+
+
+@register("reverse", "SELECT CAST(row_number() OVER (ORDER BY n_name DESC) AS INTEGER) AS place, n_name FROM nation")
+def reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = snapshot(spark, sf_dir, "nation").query().order_by("n_name").select("n_name").reverse()
+    return spark.createDataFrame([(i, r.n_name) for i, r in enumerate(found, 1)], "place int, n_name string")
+
+
+@register("parallel_options", "SELECT p_partkey, p_size FROM part WHERE p_size > 40")
+def parallel_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot(spark, sf_dir, "part").query().where(c.p_size > 40).select("p_partkey", "p_size").as_sequential().to_df(False)
+
+
+@register("plan_cache", "SELECT CAST(1 AS BIGINT) AS entries, CAST(1 AS BIGINT) AS misses, CAST(2 AS BIGINT) AS hits")
+def plan_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a query that runs three times leaves in the cache of plans."""
+    snap = snapshot(spark, sf_dir, "nation")
+    for _ in range(3):
+        snap.query().count()
+    found = snap.plan_cache_statistics()
+    return spark.createDataFrame([(found.entries, found.misses, found.hits)], "entries long, misses long, hits long")
+
+
+@register("explain", "SELECT * FROM (VALUES ('Query Plan (Optimized: True)'), ('  Columns: p_size'), ('  Predicates: 1 column-level filter(s)'), ('  GroupBy: p_brand'), ('  Aggregations: Count()')) AS v(line)")
+def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = snapshot(spark, sf_dir, "part").query().where(c.p_size > 40).group_by("p_brand").agg(n=count()).explain_text()
+    return spark.createDataFrame([(x,) for x in text.splitlines() if "Est." not in x], "line string")
+
+
+@register("refused", "SELECT * FROM (VALUES ('column', 'ColumnNotFound'), ('function', 'UnsupportedOperation'), ('function in a column', 'UnsupportedOperation'), ('no select', 'ValueError'), ('empty', 'ValueError')) AS v(what, error)")
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of statements and queries that mean nothing."""
+    snap = snapshot(spark, sf_dir, "nation")
+    tries = {
+        "column": lambda: snap.query().select("none"), "function": lambda: snap.query().where(lambda r: True),
+        "function in a column": lambda: snap.query().where(F.udf(lambda x: True, "boolean")("n_name")), "no select": lambda: snap.sql("DELETE FROM t"), "empty": lambda: snap.sql(" "),
+    }
+    found = []
+    for what, run in tries.items():
+        try:
+            run()
+        except Exception as e:  # noqa: BLE001
+            found.append((what, type(e).__name__))
+    return spark.createDataFrame(found, "what string, error string")
+
+
 @register("parquet_evolution", "SELECT CAST(p_size AS BIGINT) AS p_size, p_name, CAST(0 AS DOUBLE) AS weight FROM part")
 def parquet_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = RecordSchema.of([("p_size", t.Int64), ("p_name", t.String), ("weight", t.Double)])

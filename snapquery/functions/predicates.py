@@ -25,6 +25,8 @@ COMPARE: dict[str, Callable[[Column, Column], Column]] = {
     "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b,
     "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
 }
+#: Guesses where no statistics are at hand: shares of rows that are null, that equal one value, that hold a piece of text.
+NULLS, EQUAL, TEXT = 1 / 16, 1 / 8, 1 / 4
 FLIPPED = {"=": "=", "!=": "!=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
 
 
@@ -38,7 +40,7 @@ class Predicate:
     """Something that holds or doesn't for a row."""
 
     #: Share of rows expected to pass, for ``explain`` and the order of conjunctions.
-    selectivity = 0.33
+    selectivity = 0.5
 
     def column(self, known: Types) -> Column:
         raise NotImplementedError
@@ -77,8 +79,9 @@ class Compare(Predicate):
             if self.op not in ("=", "!="):
                 return F.lit(False)
             return c.isNull() if self.op == "=" else c.isNotNull()
-        if isinstance(self.value, Column):
-            return COMPARE[self.op](c, self.value)
+        if isinstance(self.value, (Column, Field)):
+            other = _bound(self.value.name, known) if isinstance(self.value, Field) else self.value
+            return _compared(c, kind, self.op, other)
         if isinstance(kind, T.StringType) and self.op == "!=":
             return ~c.eqNullSafe(F.lit(self.value))
         if isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -89,15 +92,26 @@ class Compare(Predicate):
         return COMPARE[self.op](c, F.lit(self.value))
 
     def columns(self) -> list[str]:
-        return [self.name]
+        return [self.name, self.value.name] if isinstance(self.value, Field) else [self.name]
 
     @property
     def selectivity(self) -> float:  # type: ignore[override]
         if self.value is None:
-            return 0.05 if self.op == "=" else 0.95
-        if isinstance(self.value, bool):
-            return 0.6 if self.value == (self.op == "=") else 0.4
-        return {"=": 0.1, "!=": 0.9}.get(self.op, 0.33)
+            return NULLS if self.op == "=" else 1 - NULLS
+        return {"=": EQUAL, "!=": 1 - EQUAL}.get(self.op, 0.5)
+
+
+def _compared(c: Column, kind: T.DataType, op: str, other: Column) -> Column:
+    """Two columns of a row: a null on either side fails (strings: differs from any string), a NaN is unequal to all and in no order."""
+    if isinstance(kind, T.StringType) and op == "!=":
+        return ~c.eqNullSafe(other)
+    if not isinstance(kind, T.NumericType):
+        return COMPARE[op](c, other)
+    nan = F.isnan(other.cast("double"))
+    nan = nan | F.isnan(c) if isinstance(kind, (T.DoubleType, T.FloatType)) else nan
+    if op == "!=":
+        return c.isNotNull() & other.isNotNull() & (nan | COMPARE[op](c, other))
+    return COMPARE[op](c, other) & ~nan
 
 
 @dataclass(frozen=True)
@@ -106,7 +120,7 @@ class StringOp(Predicate):
     op: str  # contains, startswith, endswith, equals
     value: str
     ignore_case: bool = False
-    selectivity = 0.3
+    selectivity = TEXT
 
     def column(self, known: Types) -> Column:
         c, v = _bound(self.name, known), F.lit(self.value)
@@ -124,7 +138,7 @@ class Like(Predicate):
 
     name: str
     pattern: str
-    selectivity = 0.3
+    selectivity = TEXT
 
     def column(self, known: Types) -> Column:
         inner = self.pattern.strip("%")
@@ -146,7 +160,7 @@ class NullOr(Predicate):
 
     name: str
     blank: bool = False
-    selectivity = 0.05
+    selectivity = NULLS
 
     def column(self, known: Types) -> Column:
         c = _bound(self.name, known)
@@ -160,10 +174,11 @@ class NullOr(Predicate):
 class Among(Predicate):
     name: str
     values: tuple[Any, ...]
-    selectivity = 0.2
+    selectivity = EQUAL
 
     def column(self, known: Types) -> Column:
-        return _bound(self.name, known).isin(*self.values) if self.values else F.lit(False)
+        values = [v for v in self.values if not (isinstance(v, float) and math.isnan(v))]  # a NaN equals nothing
+        return _bound(self.name, known).isin(*values) if values else F.lit(False)
 
     def columns(self) -> list[str]:
         return [self.name]
@@ -244,7 +259,7 @@ class Fallback(Predicate):
     function: Callable[[Any], bool]
 
     def column(self, known: Types) -> Column:
-        return F.udf(self.function, "boolean")(F.struct(*[F.col(f"`{c}`") for c in known if not c.startswith("_rid")]))
+        return F.udf(self.function, "boolean")(F.struct(*[F.col(f"`{c}`") for c in known]))
 
     def warnings(self) -> list[str]:
         return ["a Python function can't be pushed to columns: every row is sent to Python"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapquery.functions.aggregates import Aggregate
-from snapquery.operators.rows import RID, known, quoted
+from snapquery.operators.rows import HIDDEN, RID, known, quoted
 
 HOW = ("inner", "left", "right", "full", "left_semi", "left_anti")
 
@@ -27,13 +27,13 @@ def joined(left: DataFrame, right: DataFrame, on: Mapping[str, str], how: str =
     check(how)
     taken = set(known(left))
     names = {c: c + suffix if c in taken else c for c in known(right)}
-    other = right.select(*[quoted(c).alias(f"_r_{c}") for c in names], F.col(RID).alias("_r_rid"))
-    condition = [quoted(a) == quoted(f"_r_{b}") for a, b in on.items()]
+    other = right.select(*[quoted(c).alias(f"{HIDDEN}right_{c}") for c in names], F.col(RID).alias(f"{HIDDEN}right"))
+    condition = [quoted(a) == quoted(f"{HIDDEN}right_{b}") for a, b in on.items()]
     out = left.join(other, condition, how)
     if how in ("left_semi", "left_anti"):
         return out.select(*map(quoted, known(left)), RID)
-    rid = F.struct(F.col(RID).alias("a"), F.col("_r_rid").alias("b")).alias(RID)
-    return out.select(*map(quoted, known(left)), *[quoted(f"_r_{c}").alias(n) for c, n in names.items()], rid)
+    rid = F.struct(F.col(RID).alias("a"), F.col(f"{HIDDEN}right").alias("b")).alias(RID)
+    return out.select(*map(quoted, known(left)), *[quoted(f"{HIDDEN}right_{c}").alias(n) for c, n in names.items()], rid)
 
 
 def group_joined(left: DataFrame, right: DataFrame, on: Mapping[str, str], aggregates: Mapping[str, Aggregate]) -> DataFrame:
@@ -42,10 +42,10 @@ def group_joined(left: DataFrame, right: DataFrame, on: Mapping[str, str], aggre
     The right side is aggregated before the join, so that no pair is made.
     """
     have = known(right)
-    inner = right.groupBy(*[quoted(b).alias(f"_k_{a}") for a, b in on.items()]).agg(
+    inner = right.groupBy(*[quoted(b).alias(f"{HIDDEN}key_{a}") for a, b in on.items()]).agg(
         *[a.column(have, grouped=True).alias(n) for n, a in aggregates.items()]
     )
-    out = left.join(inner, [quoted(a) == quoted(f"_k_{a}") for a in on], "left")
+    out = left.join(inner, [quoted(a) == quoted(f"{HIDDEN}key_{a}") for a in on], "left")
     kinds = {f.name: f.dataType for f in inner.schema.fields}
     filled = [
         F.coalesce(quoted(n), F.lit(0).cast(kinds[n])).alias(n) if a.op in ("count", "long_count", "sum") and isinstance(kinds[n], T.NumericType) else quoted(n)

@@ -1,4 +1,4 @@
-"""Row operators on frames that carry a hidden ordinal ``_rid``: filters, projections, order, pages, distinct rows."""
+"""Row operators on frames that carry a hidden ordinal: filters, projections, order, pages, distinct rows."""
 
 from __future__ import annotations
 
@@ -11,17 +11,19 @@ from pyspark.sql import types as T
 from snapquery.errors import ColumnNotFound
 from snapquery.functions.predicates import Predicate
 
-RID = "_rid"
+#: Reserved for hidden columns; an input whose column names begin with it is refused.
+HIDDEN = "__snapquery_"
+RID = HIDDEN + "ordinal"
 
 
 def known(df: DataFrame) -> dict[str, T.DataType]:
     """Visible columns and their types."""
-    return {f.name: f.dataType for f in df.schema.fields if not f.name.startswith(RID)}
+    return {f.name: f.dataType for f in df.schema.fields if not f.name.startswith(HIDDEN)}
 
 
 def shown(df: DataFrame) -> DataFrame:
     """Without the ordinal and the hidden keys of the order."""
-    return df.drop(*[c for c in df.columns if c.startswith(RID)])
+    return df.drop(*[c for c in df.columns if c.startswith(HIDDEN)])
 
 
 def quoted(name: str) -> Column:
@@ -41,7 +43,7 @@ def projected(df: DataFrame, columns: Mapping[str, str | Column]) -> DataFrame:
                 raise ColumnNotFound(f"no column {source!r}; there are {', '.join(have)}")
             source = quoted(source)
         out.append(source.alias(name))
-    return df.select(*out, *[c for c in df.columns if c.startswith(RID)])
+    return df.select(*out, *[c for c in df.columns if c.startswith(HIDDEN)])
 
 
 def order_columns(keys: list[tuple[str, bool]]) -> list[Column]:
@@ -67,3 +69,8 @@ def distinct(df: DataFrame) -> DataFrame:
     """Each row once, at the place of its first occurrence; nulls are equal."""
     columns = list(known(df))
     return df.groupBy(*map(quoted, columns)).agg(F.min(RID).alias(RID)).select(*map(quoted, columns), RID)
+
+
+def python_calls(df: DataFrame) -> int:
+    """Steps of the plan that send rows to Python functions."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("EvalPython")

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from snapquery.operators.rows import RID, known, quoted
+from snapquery.operators.rows import HIDDEN, RID, known, quoted
 
 #: Thresholds of the encoding advice, and the least number of rows for any.
 DICTIONARY_BELOW, RUNS_BELOW, LEAST_ROWS = 0.5, 0.1, 100
+PART = HIDDEN + "part"
 
 
 @dataclass(frozen=True)
@@ -86,9 +87,14 @@ class BuildStatistics:
         return "\n".join(lines)
 
 
+def comparable(df: DataFrame) -> list[str]:
+    """Columns whose values can be told apart: all but maps, which Spark does not compare."""
+    return [n for n, kind in known(df).items() if "map<" not in kind.simpleString() and "variant" not in kind.simpleString()]
+
+
 def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """(column, total, nulls, distinct) of each column, from one aggregation; ``approximate`` counts distinct values by sketch."""
-    names = list(known(df))
+    names = comparable(df)
     counter = F.approx_count_distinct if approximate else F.count_distinct
     cells = [f(quoted(n)).alias(f"{p}{i}") for i, n in enumerate(names) for p, f in (("n", lambda c: F.count_if(c.isNull())), ("d", counter))]
     one = df.agg(F.count(F.lit(1)).alias("total"), *cells)
@@ -105,13 +111,13 @@ def runs(df: DataFrame) -> DataFrame:
     Ranges of the ordinal are counted apart; only their first and last rows (one row for each range)
     meet in one place.
     """
-    names = list(known(df))
-    ranged = df.repartitionByRange(RID).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(RID)
-    fresh = [(~quoted(n).eqNullSafe(F.lag(quoted(n)).over(within)) & F.lag(F.lit(1)).over(within).isNotNull()).cast("long").alias(f"_f{i}") for i, n in enumerate(names)]
+    names = comparable(df)
+    ranged = df.repartitionByRange(RID).withColumn(PART, F.spark_partition_id())
+    within = Window.partitionBy(PART).orderBy(RID)
+    fresh = [(~quoted(n).eqNullSafe(F.lag(quoted(n)).over(within)) & F.lag(F.lit(1)).over(within).isNotNull()).cast("long").alias(f"{HIDDEN}fresh_{i}") for i, n in enumerate(names)]
     row = F.struct(*[quoted(n).alias(f"c{i}") for i, n in enumerate(names)])
-    parts = ranged.select("*", *fresh).groupBy("_part").agg(
-        *[F.sum(f"_f{i}").alias(f"f{i}") for i in range(len(names))], F.min_by(row, RID).alias("first"), F.max_by(row, RID).alias("last"), F.min(RID).alias("at")
+    parts = ranged.select("*", *fresh).groupBy(PART).agg(
+        *[F.sum(f"{HIDDEN}fresh_{i}").alias(f"f{i}") for i in range(len(names))], F.min_by(row, RID).alias("first"), F.max_by(row, RID).alias("last"), F.min(RID).alias("at")
     )
     across = Window.orderBy("at")  # one row for each range
     seams = [

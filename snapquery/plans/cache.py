@@ -57,15 +57,18 @@ class PlanCache:
 
 
 class Tracker:
-    """Times of queries by their key: the last ``kept`` of each; advice from ``learn`` runs on."""
+    """Times of queries by their key: the last ``kept`` of each of the ``most`` queries that ran last; advice from ``learn`` runs on."""
 
-    def __init__(self, kept: int = 100, learn: int = 5, slow_ms: float = 100.0) -> None:
-        self.kept, self.learn, self.slow_ms = kept, learn, slow_ms
-        self.times: dict[str, list[float]] = {}
+    def __init__(self, kept: int = 100, learn: int = 5, slow_ms: float = 100.0, most: int = 1000) -> None:
+        self.kept, self.learn, self.slow_ms, self.most = kept, learn, slow_ms, most
+        self.times: OrderedDict[str, list[float]] = OrderedDict()
 
     def record(self, key: str, ms: float) -> None:
         self.times.setdefault(key, []).append(ms)
         del self.times[key][: -self.kept]
+        self.times.move_to_end(key)
+        while len(self.times) > self.most:
+            self.times.popitem(last=False)
 
     def mean(self, key: str) -> float:
         times = self.times.get(key, [])

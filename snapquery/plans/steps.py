@@ -12,7 +12,7 @@ from snapquery.functions.predicates import Fallback, Predicate
 
 @dataclass(frozen=True)
 class Step:
-    """A kind (where, select, order, skip, take, distinct, group, join, aggregate) and what it takes."""
+    """A kind (where, select, order, skip, take, distinct, group, join) and what it takes."""
 
     kind: str
     details: Any = None
@@ -39,10 +39,10 @@ class Steps:
         return [p for d in self.of("where") for p in d.conjuncts()]
 
     def explain(self) -> str:
-        """What runs on columns and what doesn't, in a few lines."""
+        """What runs on columns and what doesn't, in a few lines; their headings are fixed output."""
         predicates = self.predicates()
         fallback = [p for p in predicates if isinstance(p, Fallback)]
-        columns = list(dict.fromkeys([c for p in predicates for c in p.columns()] + [c for d in self.of("columns") for c in d]))
+        columns = list(dict.fromkeys(c for p in predicates for c in p.columns()))
         lines = [f"Query Plan (Optimized: {not fallback})"]
         if columns:
             lines.append(f"  Columns: {', '.join(columns)}")
@@ -53,7 +53,6 @@ class Steps:
         for keys, aggregates in self.of("group"):
             lines.append(f"  GroupBy: {', '.join(keys)}")
             lines.append(f"  Aggregations: {_listed(aggregates)}")
-        lines += [f"  Aggregate: {_listed(a)} [Column-Level]" for a in self.of("aggregate")]
         lines += [f"  Join: {d}" for d in self.of("join")]
         lines += [f"  OrderBy: {', '.join(f'{k} desc' if falling else k for k, falling in d)}" for d in self.of("order")]
         lines += ["  Distinct" for _ in self.of("distinct")]

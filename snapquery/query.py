@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from snapquery.errors import ColumnNotFound, EmptySequenceError, MultipleElementsError, UnsupportedOperation
 from snapquery.functions import aggregates as agg
 from snapquery.functions.aggregates import Aggregate
-from snapquery.functions.predicates import Fallback, Field, predicate
+from snapquery.functions.predicates import Fallback, Field, Raw, predicate
 from snapquery.operators import grouping, joins, rows
-from snapquery.operators.rows import RID
+from snapquery.operators.rows import HIDDEN, RID
 from snapquery.plans.steps import Steps
 
 if TYPE_CHECKING:
@@ -48,10 +48,14 @@ class Query:
     def to_df(self, ordered: bool = True) -> DataFrame:
         """The result as a frame, in the query's order unless that doesn't matter."""
         df = self._frame()
-        df = rows.ordered(df, list(self.order)) if ordered else df
+        df = rows.ordered(df, list(self.order)) if ordered and not self._in_order() else df
         df = rows.shown(df)
         return df if self.partitions is None else df.coalesce(self.partitions)
 
+    def _in_order(self) -> bool:
+        """Whether the plan gives rows in their order without a sort: that of the scan, which filters and projections keep."""
+        return self.snapshot.in_place and not self.order and all(s.kind in ("where", "select") for s in self.steps.items)
+
     def with_parallel(self, partitions: int | None = None) -> Query:
         return replaced(self, partitions=partitions)
 
@@ -84,19 +88,26 @@ class Query:
         for p in parts[1:]:
             both = both & p
         both.column(rows.known(self._frame()))  # names are checked at once
+        self._check_strict(lambda: rows.filtered(self._frame(), both), any(_holds_column(q) for q in both.conjuncts()))
         return self._next("where", both, lambda: rows.filtered(self._frame(), both))
 
+    def _check_strict(self, make: Callable[[], DataFrame], columns: bool) -> None:
+        """Columns of Spark may hold Python functions, which only the plan tells."""
+        if self.strict and columns and rows.python_calls(make()) > rows.python_calls(self._frame()):
+            raise UnsupportedOperation("a Python function in a column can't be pushed to columns; allow_fallback() runs it row by row")
+
     having = where
 
     def select(self, *columns: str | Field, **renamed: str | Field | Column) -> Query:
         chosen: dict[str, str | Column] = {_name(c): _name(c) for c in columns}
         chosen |= {k: v if isinstance(v, Column) else _name(v) for k, v in renamed.items()}
+        self._check_strict(lambda: rows.projected(self._frame(), chosen), any(isinstance(v, Column) for v in chosen.values()))
         rows.projected(self._frame(), chosen)  # names are checked at once
         df, order, hidden = self._frame(), [], {}
         for k, falling in self.order:
-            shown = [n for n, c in chosen.items() if c == k] if not k.startswith(RID) else []
-            if not shown and not k.startswith(RID):
-                shown = [f"{RID}_{len(self.steps.items)}_{len(hidden)}"]
+            shown = [n for n, c in chosen.items() if c == k] if not k.startswith(HIDDEN) else []
+            if not shown and not k.startswith(HIDDEN):
+                shown = [f"{HIDDEN}key_{len(self.steps.items)}_{len(hidden)}"]
                 hidden[shown[0]] = k
             order.append((shown[0] if shown else k, falling))
         keys = {n: rows.quoted(k) for n, k in hidden.items()}
@@ -104,7 +115,7 @@ class Query:
 
     def _shown_order(self) -> tuple[tuple[str, bool], ...]:
         """Of the order, what does not stand on hidden columns."""
-        return tuple(o for o in self.order if not o[0].startswith(RID))
+        return tuple(o for o in self.order if not o[0].startswith(HIDDEN))
 
     def order_by(self, column: str | Field) -> Query:
         return self._order(column, False, ())
@@ -295,6 +306,11 @@ class Grouping:
         return self.agg(_v=aggregate).to_dict(next(iter(self.keys)), "_v")
 
 
+def _holds_column(p: Any) -> bool:
+    parts = getattr(p, "parts", None) or ([p.part] if hasattr(p, "part") else [])
+    return isinstance(p, Raw) or isinstance(getattr(p, "value", None), Column) or any(map(_holds_column, parts))
+
+
 def _name(column: str | Field) -> str:
     return column.name if isinstance(column, Field) else column
 

@@ -39,6 +39,8 @@ class ColumnSpec:
         value = None if self.nullable else self.type.default
         if self.type is types.Timestamp and value is not None:
             return F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
+        if self.type is types.Date and value is not None:
+            return F.lit("0001-01-01").cast("date")
         return F.lit(value).cast(self.type.spark)
 
 

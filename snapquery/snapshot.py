@@ -23,12 +23,13 @@ _SERIAL = count()
 class Snapshot:
     """Made once, never changed; queries on it are lazy.  ``persist`` keeps its columns in memory, spilling to disk."""
 
-    def __init__(self, df: DataFrame, schema: RecordSchema | None = None, persist: bool = False) -> None:
+    def __init__(self, df: DataFrame, schema: RecordSchema | None = None, persist: bool = False, in_place: bool = False) -> None:
         self.serial = next(_SERIAL)
         self.spark = df.sparkSession
         self._df = df.persist() if persist else df
         self.schema = schema or RecordSchema.of_frame(rows.shown(df))
         self.plans, self.tracker = PlanCache(), Tracker()
+        self.in_place = in_place  # the scan gives rows in their order
         self._persisted, self._closed = persist, False
         self._statistics: statistics.BuildStatistics | None = None
 
@@ -36,31 +37,33 @@ class Snapshot:
 
     @staticmethod
     def from_rows(spark: SparkSession, items: Iterable[Any], record: Any, persist: bool = False) -> Snapshot:
-        return Snapshot(sources.from_rows(spark, items, record), RecordSchema.of(record), persist)
+        return Snapshot(sources.from_rows(spark, items, record), RecordSchema.of(record), persist, True)
 
     @staticmethod
-    def from_df(df: DataFrame, order_by: list[str] | None = None, persist: bool = False) -> Snapshot:
-        return Snapshot(sources.with_ordinal(df, order_by), persist=persist)
+    def from_df(df: DataFrame, order_by: list[str] | None = None, persist: bool = False, copy_to: str | None = None) -> Snapshot:
+        """``copy_to``: a folder for a copy of the rows, which a later change of their source leaves alone."""
+        df = df if copy_to is None else sources.copied(df, copy_to)
+        return Snapshot(sources.with_ordinal(df, order_by), persist=persist, in_place=not order_by)
 
     @staticmethod
-    def from_parquet(spark: SparkSession, path: str, order_by: list[str] | None = None, record: Any = None, options: ReadOptions = ReadOptions(), persist: bool = False) -> Snapshot:
-        return Snapshot.from_df(sources.from_parquet(spark, path, record, options), order_by, persist)
+    def from_parquet(spark: SparkSession, path: str, order_by: list[str] | None = None, record: Any = None, options: ReadOptions = ReadOptions(), persist: bool = False, copy_to: str | None = None) -> Snapshot:
+        return Snapshot.from_df(sources.from_parquet(spark, path, record, options), order_by, persist, copy_to)
 
     @staticmethod
-    def from_ipc(spark: SparkSession, source: Any, record: Any = None, options: ReadOptions = ReadOptions(), order_by: list[str] | None = None, persist: bool = False) -> Snapshot:
+    def from_ipc(spark: SparkSession, source: Any, record: Any = None, options: ReadOptions = ReadOptions(), order_by: list[str] | None = None, persist: bool = False, copy_to: str | None = None) -> Snapshot:
         """From a path (a file or a folder of streams), bytes, buffers or an open stream; the codec is told by the data."""
         df = ipc.read(spark, source, record, options) if isinstance(source, str) else ipc.from_bytes(spark, source, record, options)
-        return Snapshot.from_df(df, order_by, persist)
+        return Snapshot.from_df(df, order_by, persist, copy_to)
 
     # sinks
 
     def to_ipc_bytes(self, codec: str | None = None) -> bytes:
         return ipc.to_bytes(self.df(), codec)
 
-    def write_ipc(self, path: str, codec: str | None = None) -> None:
-        """A folder of streams, written by as many tasks as the snapshot has partitions."""
+    def write_ipc(self, path: str, codec: str | None = None, mode: str = "error") -> None:
+        """A folder of streams, written by as many tasks as the snapshot has partitions; streams that are there: error, overwrite or append."""
         self.check_open()
-        ipc.write(rows.shown(self._df), path, codec)
+        ipc.write(rows.shown(self._df), path, codec, mode)
 
     def write_parquet(self, path: str, sort_by: list[str] | None = None) -> None:
         """Sorted within ranges, row groups have narrow bounds, by which scans skip them."""

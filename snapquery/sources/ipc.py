@@ -38,7 +38,7 @@ def declared(schema: T.StructType) -> pa.Schema:
     fields = []
     for f, p in zip(schema.fields, plain, strict=True):
         meta = f.metadata.get(META) or {}
-        fields.append(pa.field(f.name, types.ALL[meta["type"]].arrow if "type" in meta else p.type, nullable=meta.get("nullable", f.nullable) or True))
+        fields.append(pa.field(f.name, types.ALL[meta["type"]].arrow if meta.get("type") in types.ALL else p.type, nullable=meta.get("nullable", f.nullable) or True))
     return pa.schema(fields)
 
 
@@ -112,6 +112,14 @@ def _files(path: str) -> tuple[fs.FileSystem, list[str]]:
     return system, sorted(f.path for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
 
 
+def _present(path: str) -> list[str]:
+    """Streams at a path that may not exist."""
+    try:
+        return _files(path)[1]
+    except FileNotFoundError:
+        return []
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str, schema: T.StructType) -> None:
         self.path, self.schema = path, schema
@@ -129,8 +137,9 @@ class _Reader(DataSourceReader):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, schema: T.StructType, codec: str | None) -> None:
+    def __init__(self, path: str, schema: T.StructType, codec: str | None, overwrite: bool = False) -> None:
         self.path, self.schema, self.codec, self.run = path, schema, codec, uuid.uuid4().hex
+        self.replaced = _present(path) if overwrite else []
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         """A stream under a hidden name, which commit gives its own: a task that runs twice leaves one file."""
@@ -151,6 +160,8 @@ class _Writer(DataSourceArrowWriter):
         for m in messages:
             if m is not None:
                 system.move(f"{root}/{m.name}", f"{root}/{m.name[1:]}")
+        for old in self.replaced:  # once what is new stands
+            system.delete_file(old)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         system, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
@@ -184,14 +195,18 @@ class IpcSource(DataSource):
         return _Reader(self.options["path"], schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], schema, self.options.get("codec") or None)
+        return _Writer(self.options["path"], schema, self.options.get("codec") or None, overwrite)
 
 
-def write(df: DataFrame, path: str, codec: str | None = None) -> None:
-    """A folder of streams, one for each partition."""
+def write(df: DataFrame, path: str, codec: str | None = None, mode: str = "error") -> None:
+    """A folder of streams, one for each partition; ``mode``: what to do with streams that are there already."""
     _options(codec)
+    if mode not in ("error", "overwrite", "append"):
+        raise ValueError("mode: error, overwrite or append")
+    if mode == "error" and _present(path):
+        raise FileExistsError(f"{path} holds streams; overwrite or append them by name")
     df.sparkSession.dataSource.register(IpcSource)
-    df.write.format(FORMAT).option("codec", codec or "").mode("append").save(path)
+    df.write.format(FORMAT).option("codec", codec or "").mode("overwrite" if mode == "overwrite" else "append").save(path)
 
 
 def read(spark: SparkSession, path: str, record: Any = None, options: ReadOptions = ReadOptions()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import uuid
 from collections.abc import Iterable, Mapping
 from typing import Any
 
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapquery import types
-from snapquery.operators.rows import RID
+from snapquery.errors import SchemaError
+from snapquery.operators.rows import HIDDEN, RID
 from snapquery.schema import ReadOptions, RecordSchema, fit
 
 
@@ -24,6 +26,8 @@ def _value(value: Any, kind: types.LogicalType) -> Any:
 def from_rows(spark: SparkSession, rows: Iterable[Any], record: Any) -> DataFrame:
     """Rows (objects, mappings or tuples) copied to a frame whose ordinal is their place; times are cut to milliseconds."""
     schema = RecordSchema.of(record)
+    if taken := [n for n in schema.names if n.startswith(HIDDEN)]:
+        raise SchemaError(f"names that begin with {HIDDEN} are reserved: {', '.join(taken)}")
     columns: list[list[Any]] = [[] for _ in schema.columns]
     for row in rows:
         for i, c in enumerate(schema.columns):
@@ -48,14 +52,21 @@ def from_parquet(spark: SparkSession, path: str, record: Any = None, options: Re
     return df if record is None else fit(df, RecordSchema.of(record), options)
 
 
+def copied(df: DataFrame, folder: str) -> DataFrame:
+    """A copy in a folder of its own below ``folder``, read back."""
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_ordinal(df: DataFrame, order_by: list[str] | None) -> DataFrame:
     """Add the ordinal: the key columns, if the rows have a declared order, else their place in the scan.
 
     A place in the scan rises with files and rows; it holds as long as the files are split alike, so
     that a snapshot that is paged without a key should be persisted.
     """
-    if RID in df.columns:
-        return df
+    if taken := [c for c in df.columns if c.startswith(HIDDEN)]:
+        raise SchemaError(f"names that begin with {HIDDEN} are reserved: {', '.join(taken)}")
     if not order_by:
         return df.withColumn(RID, F.monotonically_increasing_id())
     keys = [F.col(f"`{k}`") for k in order_by]

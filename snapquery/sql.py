@@ -32,6 +32,11 @@ def _masked(text: str) -> str:
     return QUOTED.sub(lambda m: " " * len(m[0]) if m[0][0] in "-/" else "\0" * len(m[0]), text)
 
 
+def _depth(masked: str, at: int) -> int:
+    """Parentheses open at a place."""
+    return masked.count("(", 0, at) - masked.count(")", 0, at)
+
+
 def _items(text: str) -> list[str]:
     """Comma-separated items outside parentheses and quotes."""
     out, depth, start, masked = [], 0, 0, _masked(text)
@@ -53,12 +58,12 @@ def normal(text: str, columns: list[str], view: str, parity: bool = False) -> tu
         raise ValueError("the statement must be a SELECT")
     if ";" in masked:
         raise ValueError("one statement at a time")
-    origin = FROM.search(masked)
+    origin = next((m for m in FROM.finditer(masked) if not _depth(masked, m.start())), None)  # not that of EXTRACT(.. FROM ..)
     if not origin:
         raise ValueError("the statement has no FROM")
     folded = {c.lower(): c for c in columns}
     for word in re.finditer(r"(?<![\w.])[A-Za-z_]\w*", masked):
-        if word[0] not in columns and word[0].lower() in folded and word.span() != origin.span(1) and not re.match(r"\s*\(", masked[word.end() :]) and not re.search(r"\bAS\s+$", masked[: word.start()], re.I):
+        if word[0] not in columns and word[0].lower() in folded and word.span() != origin.span(1) and not re.match(r"\s*(\(|\0)", masked[word.end() :]) and not re.search(r"\bAS\s+$", masked[: word.start()], re.I):
             raise ColumnNotFound(f"no column {word[0]!r}; there is {folded[word[0].lower()]!r}")
     group = GROUP.search(masked)
     head = re.match(r"\s*SELECT\b(\s+DISTINCT\b)?", masked, re.I).end()

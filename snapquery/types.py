@@ -19,7 +19,7 @@ class LogicalType:
 
     name: str
     spark: T.DataType
-    arrow: pa.DataType
+    arrow: pa.DataType | None  # None: as Spark has it
     default: Any
     size: int
 
@@ -50,10 +50,11 @@ Bool = LogicalType("bool", T.BooleanType(), pa.bool_(), False, 1)
 Decimal = LogicalType("decimal", T.DecimalType(29, 6), pa.decimal128(29, 6), decimal.Decimal(0), 16)
 String = LogicalType("string", T.StringType(), pa.string(), None, 8)
 Binary = LogicalType("binary", T.BinaryType(), pa.binary(), None, 8)
+Date = LogicalType("date", T.DateType(), pa.date32(), dt.date(1, 1, 1), 4)
 Timestamp = LogicalType("timestamp", T.TimestampNTZType(), pa.timestamp("ms", tz="UTC"), _EPOCH, 8)
 
-ALL = {t.name: t for t in (Int8, Int16, Int32, Int64, UInt8, UInt16, UInt32, UInt64, Half, Float, Double, Bool, Decimal, String, Binary, Timestamp)}
-PYTHON = {bool: Bool, int: Int64, float: Double, str: String, bytes: Binary, dt.datetime: Timestamp, decimal.Decimal: Decimal}
+ALL = {t.name: t for t in (Int8, Int16, Int32, Int64, UInt8, UInt16, UInt32, UInt64, Half, Float, Double, Bool, Decimal, String, Binary, Date, Timestamp)}
+PYTHON = {bool: Bool, int: Int64, float: Double, str: String, bytes: Binary, dt.datetime: Timestamp, dt.date: Date, decimal.Decimal: Decimal}
 
 
 def logical(kind: Any) -> LogicalType:
@@ -68,12 +69,12 @@ def logical(kind: Any) -> LogicalType:
 
 
 def of_spark(kind: T.DataType) -> LogicalType:
-    """The logical type that a Spark column has, where it wasn't declared."""
+    """The logical type that a Spark column has, where it wasn't declared; types without one here are carried as they are."""
     if isinstance(kind, T.DecimalType):
         return Decimal
     if isinstance(kind, T.TimestampType):
         return Timestamp
-    for t in (Int8, Int16, Int32, Int64, Float, Double, Bool, String, Binary, Timestamp):
+    for t in (Int8, Int16, Int32, Int64, Float, Double, Bool, String, Binary, Date, Timestamp):
         if type(t.spark) is type(kind):
             return t
-    raise SchemaError(f"columns of type {kind.simpleString()} are not supported")
+    return LogicalType(kind.simpleString(), kind, None, None, 8)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from snapquery import Snapshot, any_of, average, c, count, long_count, max_, min_, not_, sum_
 from snapquery import types as t
 from snapquery.errors import (
-    ClosedSnapshotError, ColumnNotFound, EmptySequenceError, MultipleElementsError, UnsupportedOperation,
+    ClosedSnapshotError, ColumnNotFound, EmptySequenceError, MultipleElementsError, SchemaError, UnsupportedOperation,
 )
+from snapquery.functions.predicates import predicate
+from snapquery.plans.cache import Tracker
 
 PEOPLE = [("Id", t.Int32), ("Name", t.String), ("Age", t.Int32), ("Score", t.Double), ("Category", t.String)]
 ROWS = [(1, "Alice", 25, 85.5, "A"), (2, "Bob", 30, 92.0, "B"), (3, "Charlie", 35, 78.3, "A"), (4, "David", 28, 88.7, "B"), (5, "Eve", 32, 95.2, "C")]
@@ -185,7 +187,7 @@ def test_strict_and_fallback(people):
 def test_explanations(people):
     q = people.query().where(c.Age > 30, c.Category == "A").group_by("Category").agg(n=count(), total=sum_("Age")).take(3)
     text = q.explain_text()
-    for part in ("Optimized: True", "Columns: Age, Category", "Predicates: 2 column-level", "GroupBy: Category", "Count(), Sum(Age)", "Take: 3", "Est. Selectivity: 3%"):
+    for part in ("Optimized: True", "Columns: Age, Category", "Predicates: 2 column-level", "GroupBy: Category", "Count(), Sum(Age)", "Take: 3", "Est. Selectivity: 6%"):
         assert part in text
     assert "Optimized: False" in people.query().allow_fallback().where(lambda r: True).explain_text()
     assert "Warning" in people.query().where((c.Age > 1) | (c.Age < 0)).explain_text()
@@ -256,3 +258,67 @@ def test_times(spark):
     assert s.query().first().Born == dt.datetime(1990, 5, 15, 1, 2, 3, 456000)
     assert ids(s.query().where(c.Born > dt.datetime(2000, 1, 1))) == [2]
     assert s.query().max("Born") == dt.datetime(2005, 8, 22)
+
+
+def test_columns_whose_names_look_hidden(spark):
+    df = spark.createDataFrame([(3, "a", 1, 2, 3, 4), (1, "b", 5, 6, 7, 8)], "_rid int, _ride string, _r_x int, _k_x int, _part int, x int")
+    snap = Snapshot.from_df(df)
+    assert snap.columns == df.columns
+    assert [tuple(r) for r in snap.query().to_list()] == [(3, "a", 1, 2, 3, 4), (1, "b", 5, 6, 7, 8)]
+    both = snap.query().join(snap, "x").to_list()
+    assert len(both) == 2 and "_r_x_right" in both[0].asDict()
+    assert {r["column"]: r.runs for r in snap.runs_df().collect()}["_part"] == 2
+    with pytest.raises(SchemaError):
+        Snapshot.from_df(df.withColumn("__snapquery_ordinal", F.lit(1)))
+
+
+def test_columns_compared_with_nulls_and_nans(spark):
+    nan = float("nan")
+    rows = [(1, nan, nan, "a", None), (2, nan, 1.0, "a", "a"), (3, 1.0, nan, None, None), (4, 1.0, 1.0, None, "a"), (5, None, nan, "b", "a"), (6, 2.0, 1.0, "b", "b"), (7, nan, None, None, "b")]
+    q = Snapshot.from_df(spark.createDataFrame(rows, "k int, a double, b double, s string, t string"), ["k"]).query()
+    ids = lambda p: [r.k for r in q.where(p).to_list()]
+    for b in (c.b, F.col("b")):
+        assert ids(c.a == b) == [4] and ids(c.a > b) == [6] and ids(c.a >= b) == [4, 6] and ids(c.a < b) == [] and ids(c.a <= b) == [4]
+        assert ids(c.a != b) == [1, 2, 3, 6] and ids(~(c.a == b)) == [1, 2, 3, 5, 6, 7]
+    assert ids(c.k < F.col("a")) == [] and ids(c.k != c.a) == [1, 2, 3, 4, 6, 7]
+    for t in (c.t, F.col("t")):
+        assert ids(c.s == t) == [2, 6] and ids(c.s != t) == [1, 4, 5, 7]
+    assert ids(c.a.isin(1.0, nan)) == [3, 4] and ids(c.a.isin(nan)) == []
+    assert q.where(c.a == c.b).explain_text().count("Columns: a, b") == 1
+
+
+def test_strict_mode_sees_python_functions_in_columns(spark, people):
+    f = F.udf(lambda x: x > 30, "boolean")
+    for p in (f("Age"), (c.Age > 1) & predicate(f("Age")), ~predicate(f("Age")), c.Id == F.udf(lambda x: x, "int")("Age")):
+        with pytest.raises(UnsupportedOperation):
+            people.query().where(p)
+    with pytest.raises(UnsupportedOperation):
+        people.query().select(old=f("Age"))
+    assert people.query().allow_fallback().where(f("Age")).count() == people.query().where(c.Age > 30).count()
+
+
+def test_types_that_are_carried(spark, tmp_path):
+    import datetime as dt
+
+    df = spark.createDataFrame([(1, dt.date(2020, 1, 2), [1.0], {"a": 1}), (2, None, None, None), (3, dt.date(2021, 5, 1), [], {})], "k int, d date, v array<double>, m map<string,int>")
+    snap = Snapshot.from_df(df, ["k"])
+    assert [r.k for r in snap.query().where(c.d > dt.date(2020, 6, 1)).to_list()] == [3]
+    assert [r.k for r in snap.query().where(c.d <= dt.datetime(2020, 1, 2)).to_list()] == [1]
+    assert snap.query().max("d") == dt.date(2021, 5, 1) and snap.query().to_list()[0].v == [1.0]
+    assert {r["column"] for r in snap.profile_df().collect()} == {"k", "d", "v"}
+    snap.write_ipc(str(tmp_path / "i"))
+    assert sorted(r.k for r in Snapshot.from_ipc(spark, str(tmp_path / "i")).query().where(c.d.is_not_null()).to_list()) == [1, 3]
+
+
+def test_order_of_the_scan_needs_no_sort(spark):
+    snap = Snapshot.from_df(spark.range(0, 1000, 1, 4))
+    plain = snap.query().where(c.id > 10)
+    assert "Sort" not in plain.to_df()._jdf.queryExecution().toString() and [r.id for r in plain.to_list()] == list(range(11, 1000))
+    assert "Sort" in Snapshot.from_df(spark.range(9), ["id"]).query().to_df()._jdf.queryExecution().toString()
+
+
+def test_times_are_kept_of_so_many_queries():
+    tracker = Tracker(most=3)
+    for i in range(10):
+        tracker.record(f"q{i % 5}", 1.0)
+    assert list(tracker.times) == ["q2", "q3", "q4"]

@@ -111,3 +111,25 @@ def test_statistics(spark):
     assert stats.run_candidates() == ["Sorted"] and set(stats.dictionary_candidates()) == {"Sorted", "Text", "Few"}
     assert stats.estimated_savings() == (800 - 4 * 8) + (1600 - 2 * 8 - 200) + (1600 - 4 * 8 - 200)
     assert "run_length" in stats.summary()
+
+
+def test_a_second_write_is_refused_replaces_or_adds(spark, tmp_path):
+    snap, path = Snapshot.from_df(spark.range(10), ["id"]), str(tmp_path / "ipc")
+    snap.write_ipc(path)
+    with pytest.raises(FileExistsError):
+        snap.write_ipc(path)
+    assert Snapshot.from_ipc(spark, path).query().count() == 10
+    snap.write_ipc(path, mode="overwrite")
+    assert Snapshot.from_ipc(spark, path).query().count() == 10
+    snap.write_ipc(path, mode="append")
+    assert Snapshot.from_ipc(spark, path).query().count() == 20
+    with pytest.raises(ValueError):
+        snap.write_ipc(path, mode="replace")
+
+
+def test_a_copy_outlives_its_source(spark, tmp_path):
+    source = str(tmp_path / "s")
+    spark.range(5).write.parquet(source)
+    snap = Snapshot.from_parquet(spark, source, ["id"], copy_to=str(tmp_path / "copies"))
+    spark.range(9).write.mode("overwrite").parquet(source)
+    assert snap.query().count() == 5 and len(list((tmp_path / "copies").iterdir())) == 1

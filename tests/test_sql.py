@@ -80,3 +80,15 @@ def test_typed_rows_and_dates(spark, people):
     s = Snapshot.from_rows(spark, [(1, dt.datetime(1990, 5, 15)), (2, dt.datetime(2005, 8, 22))], [("Id", t.Int32), ("Born", t.Timestamp)])
     assert [r[0] for r in s.sql("SELECT Id FROM t WHERE Born >= '2000-01-01'").collect()] == [2]
     assert [r[0] for r in s.sql("SELECT Id FROM t WHERE Born = '1990-05-15 00:00:00'").collect()] == [1]
+
+
+def test_from_inside_a_function_and_typed_literals(spark):
+    import datetime as dt
+
+    df = spark.createDataFrame([(1, dt.date(2020, 5, 1)), (2, dt.date(2021, 6, 1))], "id int, date date")
+    snap = Snapshot.from_df(df, ["id"])
+    assert snap.sql_scalar("SELECT EXTRACT(YEAR FROM date) AS y FROM anything WHERE date > DATE '2020-12-31'") == 2021
+    assert [r.id for r in snap.sql("SELECT id FROM t WHERE EXTRACT(MONTH FROM date) = 5").collect()] == [1]
+    assert snap.sql_scalar("SELECT COUNT(*) FROM t WHERE date < TIMESTAMP '2021-01-01 00:00:00'") == 1
+    with pytest.raises(ColumnNotFound):
+        snap.sql("SELECT DATE FROM t")
