@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 
-from snapquery.llm import stages
-from snapquery.llm import similar
+from snapquery.llm import similar, stages
 from snapquery.llm.simhash import keep_one as keep_by_bits
+from snapquery.llm.similar import fingerprint
 from tests.llm.helpers import documents, empty, odd, words
 
 
@@ -92,3 +93,11 @@ def test_bounds(spark):
     assert similar.keep_one(empty(spark)).collect() == []
     with pytest.raises(ValueError):
         similar.similar_classes(empty(spark), similarity=0)
+
+
+def test_fingerprints_of_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 9000):
+        h = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+        want = sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > n)
+        assert fingerprint(h) & (1 << 64) - 1 == want
