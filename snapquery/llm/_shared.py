@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -128,7 +129,7 @@ def numbered(df: DataFrame, group: str) -> DataFrame:
                 [*b.columns, pa.array(np.full(len(g), task, np.int32)), pa.array(nth)], names=[*columns, "_task", "_nth"]
             )
 
-    rows = stored(df.mapInArrow(count, schema), "numbered")
+    rows = stored(df.mapInArrow(tidied(count), schema), "numbered")
     counts = rows.groupBy(group, "_task").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(group, "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -181,4 +182,21 @@ def forget_kept() -> None:
     if _KEPT:
         _KEPT.clear()
         gc.collect()
+    _give_back()
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker, which idles or serves another operator next, gives back the memory that it has freed."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return tidy
+
+
+def _give_back() -> None:
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # of glibc
+        trim(0)

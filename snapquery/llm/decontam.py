@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapquery.llm._shared import forget_kept, stored, text_bytes, text_slices, whole_rows
+from snapquery.llm._shared import forget_kept, stored, text_bytes, text_slices, tidied, whole_rows
 from snapquery.llm._words import ALNUM, LOWER, Words, find_words, rolling
 
 GRAM = 5
@@ -112,7 +112,7 @@ def _scan(rows: DataFrame, key_type: str, block: tuple[list[str], list[bytes]],
                     names=["id", "n_words", "spans", "items"],
                 )
 
-    return rows.mapInArrow(run, f"id {key_type}, n_words long, spans {SPANS}, items array<string>")
+    return rows.mapInArrow(tidied(run), f"id {key_type}, n_words long, spans {SPANS}, items array<string>")
 
 
 def digest(words: bytes) -> bytes:
@@ -140,7 +140,7 @@ def _item_windows(items: DataFrame, window: int) -> DataFrame:
                         names=["n", "kept", "digest", "item"],
                     )
 
-    return items.mapInArrow(run, "n int, kept long, digest binary, item string")
+    return items.mapInArrow(tidied(run), "n int, kept long, digest binary, item string")
 
 
 def _candidates(rows: DataFrame, key_type: str, filters: dict[int, np.ndarray]) -> DataFrame:
@@ -164,7 +164,7 @@ def _candidates(rows: DataFrame, key_type: str, filters: dict[int, np.ndarray])
                         windows[t].append({"n": n, "at": i - int(words.first[t]), "digest": digest(words.joined(i, n))})
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(words.first).astype(np.int64)), pa.array(windows, kind)], names=["id", "n_words", "windows"])
 
-    found = rows.mapInArrow(run, f"id {key_type}, n_words long, windows array<struct<n:int,at:int,digest:binary>>")
+    found = rows.mapInArrow(tidied(run), f"id {key_type}, n_words long, windows array<struct<n:int,at:int,digest:binary>>")
     return found.withColumn("row", F.monotonically_increasing_id())
 
 

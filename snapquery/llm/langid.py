@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from snapquery.llm._shared import kept_by_worker, stored
+from snapquery.llm._shared import kept_by_worker, stored, tidied
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -108,7 +108,7 @@ def _counted(rows: DataFrame) -> DataFrame:
                     counts.clear()
         yield _table(counts)
 
-    return rows.mapInArrow(run, "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidied(run), "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
 
 
 def _table(counts: Counter[tuple[str, str]]) -> pa.RecordBatch:
@@ -129,7 +129,7 @@ def _gram_counts(words: DataFrame, longest: int) -> DataFrame:
                             counts[lang, g] += n
                 yield _table(counts)
 
-    return words.mapInArrow(run, "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(tidied(run), "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
 
 
 def _vectors(counts: DataFrame, languages: list[str], vocabulary: int | None) -> Table:
@@ -174,7 +174,7 @@ def _predicting(docs: DataFrame, model: Model, text: int, out: Callable[[pa.Reco
                 part = b.slice(at, 256)
                 yield out(part, [predict(t) for t in part.column(text).to_pylist()])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

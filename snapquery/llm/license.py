@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snapquery.llm._shared import tidied
+
 #: Public license texts and the notices by which works name a license.
 TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0",
@@ -185,4 +187,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, l
                 found = [[dict(zip(("template", "coverage", "first", "last"), f, strict=True)) for f in e[1]] for e in each]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([e[0] for e in each], pa.int64()), pa.array(found, fields)], names=["id", "n_words", "found"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_words long, found {FOUND}")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), f"id {kind}, n_words long, found {FOUND}")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapquery.llm._shared import kept_by_worker, numbered, stored
+from snapquery.llm._shared import kept_by_worker, numbered, stored, tidied
 
 #: Words whose ids a worker remembers at most; beyond that it forgets those that it met in one batch only.
 REMEMBERED = 300_000
@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int =
                     out.append(pa.array(kept, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=["id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), schema)
 
 
 def plan(histogram: dict[int, int], capacity: int = 2048) -> list[tuple[int, int, int, int, int]]:

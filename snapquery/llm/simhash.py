@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapquery.llm._shared import components, forget_kept, stored, text_bytes, whole_rows
+from snapquery.llm._shared import components, forget_kept, stored, text_bytes, tidied, whole_rows
 
 SALTED = 2000  # homes of an anchor that one task takes
 SENT = 500_000  # hot anchors that are broadcast, at most
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["id", "text_hash", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, text_hash long, fp long")
+    return rows.mapInArrow(tidied(run), f"id {kind}, text_hash long, fp long")
 
 
 @cache
@@ -120,7 +120,7 @@ def _anchored(fps: DataFrame, home_only: bool) -> DataFrame:
                 row, anchor = anchors_of(fp.view(np.uint64), home_only)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(fp[row]), pa.array(label[row])], names=["anchor", "fp", "label"])
 
-    return fps.select("fp", "label").mapInArrow(run, "anchor int, fp long, label long")
+    return fps.select("fp", "label").mapInArrow(tidied(run), "anchor int, fp long, label long")
 
 
 def _met(homes: DataFrame, copies: DataFrame, max_bits: int) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapquery.llm._shared import forget_kept, stored, text_bytes, text_slices
+from snapquery.llm._shared import forget_kept, stored, text_bytes, text_slices, tidied
 from snapquery.llm._words import VISIBLE, find_words, rolling
 
 GRAM = 12
@@ -151,7 +151,7 @@ def anchored_segments(docs: DataFrame, kind: str, window: int, gram: int) -> Dat
                 )
 
     return docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(
-        run, f"anchor long, segment binary, id {kind}, text_hash long, first int, n int"
+        tidied(run), f"anchor long, segment binary, id {kind}, text_hash long, first int, n int"
     )
 
 
@@ -245,7 +245,7 @@ def _streamed(texts: DataFrame, window: int, shard_words: int, tasks: int) -> Da
         if shard.size:
             yield shard.spans(window)
 
-    return texts.repartition(tasks, "anchor").sortWithinPartitions("anchor", "segment").mapInArrow(run, MATCHED)
+    return texts.repartition(tasks, "anchor").sortWithinPartitions("anchor", "segment").mapInArrow(tidied(run), MATCHED)
 
 
 def _windows(texts: DataFrame, kind: str, window: int) -> DataFrame:
@@ -269,7 +269,7 @@ def _windows(texts: DataFrame, kind: str, window: int) -> DataFrame:
                         names=["anchor", "segment", "id", "digest", "from"],
                     )
 
-    return texts.mapInArrow(run, f"anchor long, segment binary, id {kind}, digest binary, from int")
+    return texts.mapInArrow(tidied(run), f"anchor long, segment binary, id {kind}, digest binary, from int")
 
 
 def removable(docs: DataFrame, window: int = 50, gram: int = GRAM, shard_words: int = 60_000, hot_words: int = 200_000, task_words: int = 600_000) -> DataFrame:
@@ -290,7 +290,7 @@ def removable(docs: DataFrame, window: int = 50, gram: int = GRAM, shard_words:
     item = F.struct("anchor", "segment", F.col("holder.first").alias("first"), F.col("holder.n").alias("n"), "copied", "large")
     wanted = sized.groupBy(F.col("holder.id").alias("id"), F.col("holder.text_hash").alias("text_hash")).agg(F.collect_list(item).alias("wanted"))
     texts = docs.join(wanted, ["id", "text_hash"]).select("id", "text", "wanted")
-    texts = stored(texts.mapInArrow(_cut, f"anchor long, segment binary, copied boolean, large boolean, id {kind}, words string"), "reference")
+    texts = stored(texts.mapInArrow(tidied(_cut), f"anchor long, segment binary, copied boolean, large boolean, id {kind}, words string"), "reference")
     matched = _streamed(texts.where("not large"), window, shard_words, max(1, -(-total // task_words)))
     exploded = stored(_windows(texts.where("large"), kind, window), "hot-windows")
     earliest = exploded.groupBy("anchor", "digest").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last")
@@ -341,4 +341,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     gone = removable(rows, window, **sizes)
-    return rows.join(gone, ["id", "text_hash"], "left").select("id", "text", "spans").mapInArrow(_keep, f"id {kind}, n_words long, n_removed long, kept string")
+    return rows.join(gone, ["id", "text_hash"], "left").select("id", "text", "spans").mapInArrow(tidied(_keep), f"id {kind}, n_words long, n_removed long, kept string")

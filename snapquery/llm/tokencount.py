@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapquery.llm._shared import kept_by_worker, text_slices
+from snapquery.llm._shared import kept_by_worker, text_slices, tidied
 
 SPACE = "▁"
 #: Words whose counts a worker remembers at most; beyond that it starts afresh.
@@ -99,4 +99,4 @@ def token_counts(docs: DataFrame, scores: dict[str, float], id_col: str = "doc_i
                 counts = np.array(counter([t or "" for t in part.column(1).to_pylist()]), np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["id", "n_words", "n_tokens"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_words long, n_tokens long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), f"id {kind}, n_words long, n_tokens long")
