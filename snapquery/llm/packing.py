@@ -14,6 +14,7 @@ packed one by one; an empty table returns no rows.  Other columns of the input a
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -21,63 +22,92 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapquery.llm._shared import kept_by_worker, numbered, stored, tidied
+from snapquery.llm._shared import kept_by_worker, numbered, stored, text_slices, tidied
 
-#: Words whose ids a worker remembers at most; beyond that it forgets those that it met in one batch only.
-REMEMBERED = 300_000
+#: Words in a generation of a worker's memory, beside those of one batch; it holds two generations.
+REMEMBERED = 150_000
+
+
+def gathered(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs numbered ``at`` of ``values``, which falls into runs of ``sizes``, one after the other, and where each begins and the last ends."""
+    begins, size = np.cumsum(sizes) - sizes, sizes[at]
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    return values[np.arange(bounds[-1]) + np.repeat(begins[at] - bounds[:-1], size)], bounds
 
 
 class WordEncoder:
     """Ids of texts by a ``tokenizers`` file whose model works word by word.
 
-    The tokenizer encodes each distinct word of a batch once and the texts are put together from the
-    words' ids.  How the text falls into words is only reproduced for characters below U+0180, where
-    letters and digits are listed from the Unicode data; a text with any other character, or with
-    what may be a special token, is encoded by the tokenizer itself.
+    No word reaches over white space.  So Arrow puts the strings between white space into a dictionary,
+    then the words of the distinct strings into another; the model sees each distinct word that is not
+    remembered once, and the ids of strings and texts are gathered from those of words.  How a text falls
+    into words is only reproduced for characters below U+0180, where letters and digits are listed from
+    the Unicode data; a text with any other character, or with what may be a special token, is
+    encoded by the tokenizer itself.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         plain = [chr(i) for i in range(0x180) if i != 0x130]
         kinds = {c: unicodedata.category(c)[0] for c in plain}
         some = lambda kind: "".join(re.escape(c) for c in plain if kinds[c] == kind)
         space = "\\t\\n\\x0b\\x0c\\r\\x20\\x85\\xa0"
         self.words = re.compile(
-            f"'s|'t|'re|'ve|'m|'ll|'d|[{some('L')}]+|[{some('N')}]|[^{space}{some('L')}{some('N')}]+"
+            f"'s|'t|'re|'ve|'m|'ll|'d|[{some('L')}]+|[{some('N')}]|\\n|[^{space}{some('L')}{some('N')}]+"
         ).findall
-        self.other = re.compile("[^\\x00-\\u012f\\u0131-\\u017f]|<\\|").search
+        self.other = r"[^\x00-\x{12f}\x{131}-\x{17f}]|<\|"
+        hidden = [i for i in range(256) if not chr(i).isprintable() or chr(i) == " "]
+        self.letters = {i: 256 + n for n, i in enumerate(hidden)}  # of bytes that do not stand for themselves
         self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()  # words met in a batch after the one they came with
+        self.older: dict[str, bytes] = {}
 
     def _own(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words, many in one call: white space between them keeps each a word of its own."""
-        for k in range(0, len(words), 2048):
-            part = words[k : k + 2048]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            first = np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)) * 4
-            ids, cuts = np.array(e.ids, dtype="<u4").tobytes(), first.tolist()
-            self.known.update(zip(part, [ids[i:j] for i, j in zip(cuts, cuts[1:])], strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def _word(self, word: str) -> bytes:
+        if not word.isascii() or not word.isprintable():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known = {w: self.known[w] for w in self.again} if len(self.again) < REMEMBERED // 2 else {}
-            self.again.clear()
-        cut = [None if self.other(t) else self.words(t.lower()) for t in texts]
-        met = set().union(*(w for w in cut if w))
-        fresh = met.difference(self.known)
-        self.again |= met - fresh
-        self._learn(sorted(fresh))
-        get = self.known.__getitem__
-        return [self._own(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, cut, strict=True)]
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        for w in words:
+            if w not in known:
+                known[w] = older.get(w) or self._word(w)
+        return [known[w] for w in words]
+
+    def _of_strings(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings without ASCII white space, one after the other, and the number of each."""
+        joined = "\n".join([*strings.to_numpy(zero_copy_only=False), ""]).lower()
+        words = pa.array(self.words(joined), pa.large_string()).dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+        ids = [b"" if w == "\n" else i for w, i in zip(distinct, self._of_words(distinct), strict=True)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = np.asarray(words.indices)
+        values, bounds = gathered(np.frombuffer(b"".join(ids), "<u4"), sizes, at)
+        ends = bounds[:-1][at == (distinct.index("\n") if distinct else -1)]
+        return values, np.diff(ends, prepend=0)
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        foreign = pc.match_substring_regex(texts, self.other)
+        split = pc.ascii_split_whitespace(pc.if_else(foreign, "", texts))
+        strings = split.flatten().dictionary_encode()
+        ids, bounds = gathered(*self._of_strings(strings.dictionary), np.asarray(strings.indices))
+        cut = (bounds[np.asarray(split.offsets) - split.offsets[0].as_py()] * 4).tolist()
+        whole = ids.astype("<u4", copy=False).tobytes()
+        return [self._own(texts[i].as_py()) if f else whole[cut[i] : cut[i + 1]] for i, f in enumerate(foreign.to_pylist())]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -90,10 +120,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = kept_by_worker(("packing", tokenizer), lambda: WordEncoder(tokenizer))
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for first, last in text_slices(b, "text", 4 << 20):
+                part = b.slice(first, last - first)
                 row, piece, length, crc, kept = [], [], [], [], []
-                for i, ids in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):
+                for i, ids in enumerate(encode(part.column(1))):
                     ids += end
                     for k, start in enumerate(range(0, len(ids), step)):
                         cut = ids[start : start + step]
