@@ -85,6 +85,21 @@ def test_the_stage_drops_copies_at_0_8_to_0_95(spark, docs):
     assert keep_by_bits(df).count() > len(ids) + 20  # three bits of 64 let most of them stay
 
 
+def test_a_pair_is_met_about_once(spark, docs, monkeypatch):
+    rng, tried, alike = random.Random(17), [], similar._alike
+    base = words(rng, 400, 5000)
+    family = [(1000 + i, edited(rng, base, 0.80, 0.84)) for i in range(24)]  # pairs of the family are at about 0.65
+
+    def counted(pairs, *rest):
+        tried.append((pairs.count(), pairs.distinct().count()))
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(similar, "_alike", counted)
+    rows = similar.similar_classes(documents(spark, docs + family)).collect()
+    assert len({r.label for r in rows}) == len(set(brute_labels(docs + family)))
+    assert tried[-1][1] > 150 and sum(made for made, _ in tried[1:]) <= 1.5 * sum(distinct for _, distinct in tried[1:])
+
+
 def test_prefix_of_any_order_is_met():
     assert [similar.prefix_size(n, 0.8) for n in (1, 4, 5, 10, 100)] == [1, 1, 2, 3, 21]
 
