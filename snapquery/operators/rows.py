@@ -14,6 +14,8 @@ from snapquery.functions.predicates import Predicate
 #: Reserved for hidden columns; an input whose column names begin with it is refused.
 HIDDEN = "__snapquery_"
 RID = HIDDEN + "ordinal"
+#: Of a page that ends by this row, each task holds the first rows and sends them to one task.
+GATHERED = 10_000
 
 
 def known(df: DataFrame) -> dict[str, T.DataType]:
@@ -61,8 +63,11 @@ def page(df: DataFrame, keys: list[tuple[str, bool]], skip: int = 0, take: int |
     if skip < 0 or (take is not None and take < 0):
         raise ValueError("counts of rows must not be negative")
     out = ordered(df, keys)
+    if take is not None and skip + take <= GATHERED:
+        out = out.limit(skip + take)
+        return out.offset(skip) if skip else out
     out = out.offset(skip) if skip else out
-    return out if take is None else out.limit(take)
+    return out if take is None else ordered(out, keys).limit(take)  # Spark refuses an offset and a limit side by side of 2 ** 31 or more
 
 
 def distinct(df: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ class Query:
     order: tuple[tuple[str, bool], ...] = ()
     strict: bool = True
     partitions: int | None = None
+    skipped: tuple[Query, int] | None = None  # of a query that ends in ``skip``: what stands before it, and how many rows
 
     # plan
 
@@ -43,7 +44,7 @@ class Query:
         return self.snapshot.plans.get(self.steps.key(), self.make, self.steps)
 
     def _next(self, kind: str, details: Any, make: Callable[[], DataFrame], order: tuple[tuple[str, bool], ...] | None = None) -> Query:
-        return replaced(self, make=make, steps=self.steps.then(kind, details), order=self.order if order is None else order)
+        return replaced(self, make=make, steps=self.steps.then(kind, details), order=self.order if order is None else order, skipped=None)
 
     def to_df(self, ordered: bool = True) -> DataFrame:
         """The result as a frame, in the query's order unless that doesn't matter."""
@@ -139,11 +140,12 @@ class Query:
     def skip(self, n: int) -> Query:
         make = lambda: rows.page(self._frame(), list(self.order), skip=n)
         make()
-        return self._next("skip", n, make)
+        return replaced(self._next("skip", n, make), skipped=(self, n))
 
     def take(self, n: int) -> Query:
         """The first n; after ``skip`` both become one page."""
-        make = lambda: rows.page(self._frame(), list(self.order), take=n)
+        q, skip = self.skipped or (self, 0)
+        make = lambda: rows.page(q._frame(), list(self.order), skip, n)
         make()
         return self._next("take", n, make)
 

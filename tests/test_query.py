@@ -96,6 +96,15 @@ def test_pages(numbers):
             bad()
 
 
+def test_skip_then_take_is_one_page(numbers):
+    q = numbers.query().order_by_desc("Category").skip(30).take(5)
+    assert ids(q) == [92, 95, 98, 1, 4]
+    plan = q.to_df(False)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=35, offset=30" in plan and "Exchange" not in plan
+    assert ids(numbers.query().skip(10).select("Id").take(2)) == ids(numbers.query().skip(6).skip(4).take(2)) == [10, 11]
+    assert ids(numbers.query().skip(90).order_by_desc("Id").take(2)) == [99, 98] and ids(numbers.query().skip(98).take(2**31 - 1)) == [98, 99]
+
+
 def test_terminals(people, numbers):
     q = people.query()
     assert q.first().Id == 1 and q.first(c.Age > 30).Id == 3
