@@ -11,6 +11,7 @@ from snapquery.errors import (
     ClosedSnapshotError, ColumnNotFound, EmptySequenceError, MultipleElementsError, SchemaError, UnsupportedOperation,
 )
 from snapquery.functions.predicates import predicate
+from snapquery.operators import rows
 from snapquery.plans.cache import Tracker
 
 PEOPLE = [("Id", t.Int32), ("Name", t.String), ("Age", t.Int32), ("Score", t.Double), ("Category", t.String)]
@@ -105,6 +106,35 @@ def test_skip_then_take_is_one_page(numbers):
     assert ids(numbers.query().skip(90).order_by_desc("Id").take(2)) == [99, 98] and ids(numbers.query().skip(98).take(2**31 - 1)) == [98, 99]
 
 
+def test_skip_numbers_only_rows_near_its_edge(spark, numbers):
+    q = numbers.query().order_by_desc("Category").skip(30)
+    plan = q.to_df(False)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Limit" not in plan
+    assert [r.Id for r in q.to_df(False).collect()] == ids(q) == sorted(range(100), key=lambda i: (-(i % 3), i))[30:]
+    assert ids(numbers.query().skip(2).skip(95)) == [97, 98, 99]
+    tied = Snapshot.from_df(spark.range(60, numPartitions=5).selectExpr("id", "id % 2 AS k"), ["k"]).query()  # a key that does not tell rows apart
+    assert sorted(r.k for r in tied.skip(17).to_list()) == [0] * 13 + [1] * 30 and tied.skip(60).count() == 0 and tied.skip(30).take(30).count() == 30
+
+
+def test_late_pages(spark, numbers, tmp_path, monkeypatch):
+    monkeypatch.setattr(rows, "GATHERED", 5)
+    monkeypatch.setattr(rows, "RANGES", 8)
+    nan, items = float("nan"), []
+    for i in range(300):
+        items.append((i, [None, nan, 0.0, -0.0, 1.5, -3.0][i * 7 % 6], [None, "a", "b"][i * 5 % 3], i // 2))
+    spark.createDataFrame(items, "i int, d double, t string, k int").repartition(4).write.parquet(f"{tmp_path}/p")
+    keyed, tied, unkeyed = (Snapshot.from_parquet(spark, f"{tmp_path}/p", key).query() for key in (["i"], ["k"], None))
+    grouped = keyed.group_by("k").agg(n=count())
+    assert rows.repeatable(keyed._frame()) and rows.repeatable(grouped._frame())
+    assert not rows.repeatable(unkeyed._frame()) and not rows.repeatable(keyed.group_by("k").agg(n=average("d"))._frame())
+    for q in (keyed.order_by_desc("d").then_by("t"), unkeyed.order_by("t"), grouped):
+        want = [str(r) for r in q.to_list()]
+        assert [str(r) for r in q.skip(140).to_list()] == want[140:] and [str(r) for r in q.page(40, 70).to_list()] == want[40:110]
+        assert [str(r) for r in q.first_n(120)] == want[:120] and str(q.element_at(99)) == want[99]
+    assert [r.k for r in tied.page(31, 100).to_list()] == [r.k for r in tied.to_list()][31:131] and tied.skip(301).count() == 0
+    assert ids(numbers.query().where(c.Id < 0).skip(50)) == [] and ids(numbers.query().page(98, 2**31 - 1)) == [98, 99]
+
+
 def test_terminals(people, numbers):
     q = people.query()
     assert q.first().Id == 1 and q.first(c.Age > 30).Id == 3
